@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, fingerprints, packing, pieces, quality, token_counts
+from emberlog.llm import chat, fingerprints, language, packing, pieces, quality, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -36,16 +36,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.withColumn("held_out", language.held_out(F.col("doc_id")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.withColumn("held_out", language.held_out(F.col("doc_id")))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op4_sentencepiece, op5_packing, op6_quality_rules, op8_token_counts, op10_fingerprints)
+    f.__name__: f for f in (op1_chat_formatting, op4_sentencepiece, op5_packing, op6_quality_rules, op7_language_id, op8_token_counts, op9_toxicity, op10_fingerprints)
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.ORACLE_SQL, "op6_quality_rules": quality.oracle()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import chat, fingerprints, language, neardup, packing, pieces, quality, token_counts, toxicity
+from emberlog.llm import chat, fingerprints, language, neardup, packing, pieces, quality, substrings, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +24,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), n=2)
 
@@ -62,6 +66,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_minhash_dedup, op4_sentencepiece, op5_packing, op6_quality_rules, op7_language_id, op8_token_counts, op9_toxicity, op10_fingerprints)
+    f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_minhash_dedup, op4_sentencepiece, op5_packing, op6_quality_rules, op7_language_id, op8_token_counts, op9_toxicity, op10_fingerprints)
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.ORACLE_SQL, "op6_quality_rules": quality.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.ORACLE_SQL, "op2_substring_dedup": substrings.ORACLE_SQL, "op6_quality_rules": quality.oracle()}

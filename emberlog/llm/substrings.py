@@ -83,9 +83,9 @@ STAGED = "kind int, id long, row long, n_words long, sha256 string, text string,
 DONE, DOCUMENT, SEGMENT = 0, 1, 2
 
 
-def staged(docs: DataFrame, with_text: bool) -> DataFrame:
-    """Documents without repeated anchors, done; others with their text; and the segments of these."""
-    found = anchors(docs)
+def staged(docs: DataFrame, with_text: bool, keep: dict[str, str]) -> DataFrame:
+    """Documents without repeated anchors, done; others with their text; and the segments of these. keep: more columns and their types."""
+    found = anchors(docs.select("id", "text"))
     counts = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("count")).where("low < high")
     repeated = found.join(counts.select("anchor", (F.col("count") >= HOT).alias("hot")), "anchor")
     by_document = repeated.groupBy("id").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
@@ -93,10 +93,14 @@ def staged(docs: DataFrame, with_text: bool) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("route", pa.int64()), ("content", pa.binary())])
 
-        def table(kind: int, n: int, **columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()) if f.name == "kind" else columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+        def table(kind: int, n: int, part: pa.RecordBatch | None = None, **columns) -> pa.RecordBatch:
+            own = [pa.array([kind] * n, pa.int32()) if f.name == "kind" else columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema]
+            more = [pa.nulls(n, t) if part is None else column(part, k) for k, t in kinds.items()]
+            return pa.RecordBatch.from_arrays(own + more, [*schema.names, *kinds])
 
+        kinds: dict[str, pa.DataType] = {}
         for batch in batches:
+            kinds.update({k: column(batch, k).type for k in keep})
             for block in blocks(column(batch, "text")):
                 part = batch.slice(block.rows[0], len(block))
                 ids, texts = column(part, "id"), column(part, "text")
@@ -105,12 +109,12 @@ def staged(docs: DataFrame, with_text: bool) -> DataFrame:
                 if len(done):
                     digests = [_digest(block.raw(k)) for k in done.tolist()]
                     more = {"text": texts.take(pa.array(done)).cast(pa.string())} if with_text else {}
-                    yield table(DONE, len(done), id=ids.take(pa.array(done)), n_words=pa.array([d[0] for d in digests], pa.int64()), sha256=pa.array([d[1] for d in digests]), **more)
+                    yield table(DONE, len(done), part.take(pa.array(done)), id=ids.take(pa.array(done)), n_words=pa.array([d[0] for d in digests], pa.int64()), sha256=pa.array([d[1] for d in digests]), **more)
                 if not candidate.any():
                     continue
                 some = np.flatnonzero(candidate)
                 keys = np.array([_row_key(block.raw(k)) if c else 0 for k, c in enumerate(candidate.tolist())], np.int64)
-                yield table(DOCUMENT, len(some), id=ids.take(pa.array(some)), row=pa.array(keys[some]), text=texts.take(pa.array(some)).cast(pa.string()))
+                yield table(DOCUMENT, len(some), part.take(pa.array(some)), id=ids.take(pa.array(some)), row=pa.array(keys[some]), text=texts.take(pa.array(some)).cast(pa.string()))
                 at, doc, place, best, (starts, ends, first, hashes) = anchored(block)
                 # (document, anchor) pairs as one number each
                 def pairs(name: str, part: pa.RecordBatch = part) -> np.ndarray:
@@ -138,7 +142,7 @@ def staged(docs: DataFrame, with_text: bool) -> DataFrame:
                 content = [data[s:e] for s, e in zip(starts[head].tolist(), ends[tail].tolist(), strict=True)]
                 yield table(SEGMENT, len(head), id=ids.take(pa.array(which)), row=pa.array(keys[which]), start=pa.array((head - first[which]).astype(np.int32)), route=pa.array(route), content=pa.array(content, pa.binary()))
 
-    return docs.join(by_document, "id", "left").mapInArrow(rows, STAGED)
+    return docs.join(by_document, "id", "left").mapInArrow(rows, STAGED + "".join(f", {k} {kind}" for k, kind in keep.items()))
 
 
 def reports(segments: DataFrame) -> DataFrame:
@@ -184,20 +188,21 @@ def reports(segments: DataFrame) -> DataFrame:
     return merged.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(run, "route long, k1 long, k2 long, lows array<long>")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256 and, by ``with_text``, text) of every row.
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, keep: list[str] = ()) -> DataFrame:
+    """(id, n_words, n_removed, kept_sha256, by ``with_text`` text, and columns to keep) of every row.
 
     kept_sha256 is of the words left, joined by one space. A text that loses
     nothing stays as it is; else what is left between removed words is
     joined by one space. Of rows that share an id none counts as smaller; rows
     without an id are never removed from and remove from nothing. A null text has no words and stays null.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    stage, _ = shared.written(staged(source, with_text))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema if f.name.startswith("_keep_")}
+    stage, _ = shared.written(staged(source, with_text, kinds))
     segments = stage.where(F.col("kind") == SEGMENT).select("id", "row", "start", "route", "content").withColumn("k1", F.xxhash64("content")).withColumn("k2", F.xxhash64(F.lit(1), "content"))
     told = segments.select("id", "row", "start", "route", "k1", "k2").join(reports(segments), ["route", "k1", "k2"])
     told = told.where(F.array_min("lows") < F.col("id")).groupBy("id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("lows").alias("lows"))
-    texts = stage.where(F.col("kind") == DOCUMENT).select("id", "row", "text").join(told, ["id", "row"], "left")
+    texts = stage.where(F.col("kind") == DOCUMENT).select("id", "row", "text", *kinds).join(told, ["id", "row"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,12 +230,13 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 columns = [pa.array(id_, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)]
                 if with_text:
                     columns.append(pa.array([t.decode("utf-8", "replace") for t in text]))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_sha256", "text"][: len(columns)])
+                names = ["id", "n_words", "n_removed", "kept_sha256", "text"][: len(columns)]
+                yield pa.RecordBatch.from_arrays(columns + [column(part, k) for k in kinds], names + [*kinds])
 
-    shown = ["id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text
-    changed = texts.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
-    done = stage.where(F.col("kind") == DONE).select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"), *["text"] * with_text)
-    return done.unionByName(changed).select(*shown).withColumnRenamed("id", id_col)
+    shown = ["id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text + [*kinds]
+    changed = texts.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text + "".join(f", {k} {kind}" for k, kind in kinds.items()))
+    done = stage.where(F.col("kind") == DONE).select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"), *["text"] * with_text, *kinds)
+    return done.unionByName(changed).select(*shown).withColumnsRenamed({"id": id_col} | ({"text": text_col} if with_text else {}) | {f"_keep_{k}": c for k, c in enumerate(keep)})
 
 
 #: The same over ``documents`` as DuckDB SQL.

@@ -90,7 +90,7 @@ def json_entry(schema: LogSchema, names: list[str], meta: dict[str, Column], sho
     for n in sorted(names):
         values = schema.values(n)
         listed = F.transform(values, _json(n, show_all))
-        one = F.when(F.size(values) == 1, listed[0]).when(F.size(values) > 1, F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")))
+        one = F.when(F.size(values) == 1, F.get(listed, F.lit(0))).when(F.size(values) > 1, F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")))
         parts.append(F.concat(F.lit(f'"{n}":'), one))
     return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
 

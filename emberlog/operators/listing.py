@@ -44,7 +44,7 @@ def split_payload(raw: Column) -> tuple[Column, Column]:
 
 def projected(df: DataFrame, schema: LogSchema, names: list[str], time: str = "timestamp") -> DataFrame:
     """A table of chosen fields, the time first; a repeated field shows its last value, an absent one null."""
-    return df.select(schema.effective().alias(time), *[F.element_at(schema.values(n), -1).alias(n) if schema.repeated is not None and n not in schema.fields else schema.value(n).alias(n) for n in names])
+    return df.select(schema.effective().alias(time), *[F.try_element_at(schema.values(n), F.lit(-1)).alias(n) if schema.repeated is not None and n not in schema.fields else schema.value(n).alias(n) for n in names])
 
 
 def process_name(schema: LogSchema) -> Column:

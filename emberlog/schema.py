@@ -55,7 +55,7 @@ class LogSchema:
             return self.fields[name].cast("string")
         if self.repeated is None:
             return F.lit(None).cast("string")
-        return F.filter(self.repeated, lambda f: f["name"] == name)[0]["value"].cast("string")
+        return F.get(F.filter(self.repeated, lambda f: f["name"] == name), F.lit(0))["value"].cast("string")
 
     def values(self, name: str) -> Column:
         """All values of a field as an array; empty where it is absent."""
@@ -81,7 +81,7 @@ class LogSchema:
 def entries_schema() -> LogSchema:
     """The binding of the canonical ``entries`` table."""
     texts = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), F.decode(f["value"], "UTF-8").alias("value")))
-    source = F.filter(texts, lambda f: f["name"] == "_SOURCE_REALTIME_TIMESTAMP")[0]["value"]
+    source = F.get(F.filter(texts, lambda f: f["name"] == "_SOURCE_REALTIME_TIMESTAMP"), F.lit(0))["value"]
     return LogSchema(F.col("realtime_usec"), {}, source.try_cast("bigint"), F.col("source_file"), (F.col("seqnum"),), texts)
 
 

@@ -70,6 +70,8 @@ class CharacterMap:
         node = (unit >> 10) << ((unit & 0x200) >> 6)
         for k in range(at, len(raw)):
             node ^= raw[k]
+            if node >= len(units):
+                break
             unit = units[node]
             if unit & 0x800000FF != raw[k]:
                 break
@@ -155,8 +157,8 @@ class Model:
     def spans(self, raw: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of each code in the bytes of the original text.
 
-        Codes of the bytes of one character share its span; the mark put in
-        front of a text has none of its own, so a code of it alone is empty.
+        Of the codes of one character's bytes the last has its span and the others are empty;
+        so is a code of nothing but the mark put in front of a text.
         """
         if not self.map.units and not self.squeeze and self.escape and _MARK not in raw and not (codes == self.unknown).any():
             upto = np.cumsum(self.source_sizes[codes])
@@ -169,7 +171,7 @@ class Model:
                 start_of = np.maximum.accumulate(np.where(head, index, 0))
                 next_of = np.append(np.minimum.accumulate(np.where(head, index, len(data))[::-1])[::-1], len(data))
                 begins = np.where(begins < len(data), start_of[np.minimum(begins, len(data) - 1)], len(data))
-                ends = next_of[ends]
+                ends = np.where(next_of[ends] == ends, ends, begins)
             return begins, ends
         text, places = self.normalise(raw)
         sizes = self.sizes[codes].copy()
@@ -192,6 +194,8 @@ class Model:
         begins, ends = places[np.minimum(begins, len(text))], after[np.clip(last, 0, len(text))]
         if self.prefix and len(sizes) and sizes[0] == len(_MARK if self.escape else b" "):
             ends[0] = begins[0]
+        inside = [k for k, at in enumerate((np.array(where, np.int64) + sizes).tolist()) if at < len(text) and text[at] & 0xC0 == 0x80]
+        ends[inside] = begins[inside]
         return begins, np.maximum(ends, begins)
 
     def documents(self, block: Block) -> list[np.ndarray]:

@@ -63,7 +63,7 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def with_next(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """Every row as (id, text, bucket, text of the next row downwards by id), the lowest row followed by the highest.
+    """Every row as (id, text, bucket, place in it, lower, below): the text of the next row downwards by id, the lowest row followed by the highest.
 
     Rows are dealt by id into buckets of about equal size, bounded by
     quantiles, and each finds its neighbour there. Only the lowest row
@@ -82,7 +82,7 @@ def with_next(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     highest = source.groupBy("bucket").agg(F.max_by("text", F.struct(F.col("id").isNotNull().alias("known"), "id", "text")).alias("top"))
     over = Window.orderBy("bucket")  # of the buckets' tops, at most 4096 rows
     below = highest.select("bucket", F.coalesce(F.lag("top").over(over), F.last("top").over(over.rowsBetween(0, Window.unboundedFollowing))).alias("below"))
-    rows = source.withColumn("lower", F.lag("text").over(inside))
+    rows = source.withColumn("lower", F.lag("text").over(inside)).withColumn("place", F.row_number().over(inside))
     return rows.join(below, "bucket")
 
 
@@ -98,8 +98,8 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(following, F.lit(1), third))
-    marked = rows.select("id", "bucket", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "lower", "below", winnow(F.col("text"), k, w).alias("marks"))
-    inside = Window.partitionBy("bucket").orderBy(F.col("id").asc_nulls_first(), F.col("text").asc())
+    marked = rows.select("id", "bucket", "place", n.cast("long").alias("n_chars"), edited.alias("edited"), "lower", "below", winnow(F.col("text"), k, w).alias("marks"))
+    inside = Window.partitionBy("bucket").orderBy("place")  # equal rows stay in their order
     both = marked.withColumn("lower_marks", F.lag("marks").over(inside)).select(
         "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "marks", winnow(F.col("edited"), k, w).alias("edited_marks"), F.coalesce("lower_marks", winnow(F.col("below"), k, w)).alias("next_marks")
     )

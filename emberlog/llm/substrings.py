@@ -4,7 +4,7 @@
    words in it, so equal runs have equal anchors. Anchors found in one
    document only are dropped; the count is pre-aggregated before its shuffle.
 2. The stretch of a document whose runs share a repeated anchor is a segment.
-   Equal segments are merged (again before the shuffle), and a shard gets all segments of
+   A task merges equal segments before it sends them, and a shard gets all segments of
    its anchors. Very frequent anchors are dealt out by whole runs instead.
 3. A shard is indexed by a compressed FM-index (see ``fmindex``) in blocks of
    whole anchors, its segments are streamed through backward
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import shared
+from emberlog.llm.filters import BITS_PER_ID, MAX_BITS, IdFilter, id_filter
 from emberlog.llm.fmindex import Index, least_of
 from emberlog.llm.neardup import grouped
 from emberlog.llm.text import Block, blocks, column, inner, mix, windows
@@ -31,6 +32,8 @@ from emberlog.llm.text import Block, blocks, column, inner, mix, windows
 LENGTH, ANCHOR = 13, 4
 #: Documents that share an anchor from which on its runs are dealt out one by one.
 HOT = 5000
+#: Repeated anchors that a filter of bounded size holds well.
+MAX_FILTERED = MAX_BITS // BITS_PER_ID
 #: Words of the segments that are indexed together; one anchor's are never parted.
 INDEX_WORDS = 1_000_000
 
@@ -70,8 +73,8 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, "id long, anchor long")
 
 
-def _row_key(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+def _key(raw: bytes, size: int = 16) -> bytes:
+    return hashlib.blake2b(raw, digest_size=size).digest()
 
 
 def _digest(raw: bytes) -> tuple[int, str]:
@@ -79,79 +82,166 @@ def _digest(raw: bytes) -> tuple[int, str]:
     return len(words), hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-STAGED = "kind int, id long, row long, n_words long, sha256 string, text string, start int, route long, content binary"
-DONE, DOCUMENT, SEGMENT = 0, 1, 2
+class Repeated:
+    """Which anchors of documents are in more than one: told by filters of bounded size, or by lists in the rows themselves."""
 
+    def __init__(self, cold: IdFilter | None = None, hot: IdFilter | None = None):
+        self.cold, self.hot = cold, hot
 
-def staged(docs: DataFrame, with_text: bool, keep: dict[str, str]) -> DataFrame:
-    """Documents without repeated anchors, done; others with their text; and the segments of these. keep: more columns and their types."""
+    def tests(self, part: pa.RecordBatch, doc: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of runs with these documents and anchors, those with a repeated anchor that is not hot, and those with a hot one."""
+        if self.cold is not None:
+            hot = self.hot(best)
+            return self.cold(best) & ~hot, hot
+
+        def pairs(name: str) -> np.ndarray:  # (document, anchor) as one number each
+            lists = column(part, name)
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            return mix(values.view(np.uint64) ^ mix(np.repeat(np.arange(len(lengths)), lengths).astype(np.uint64) + np.uint64(1)))
+
+        own = mix(best.view(np.uint64) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+        return np.isin(own, pairs("cold")), np.isin(own, pairs("hot"))
+
+
+def repeated(docs: DataFrame) -> tuple[DataFrame, Repeated]:
+    """The documents, and what tells the repeated anchors of their runs.
+
+    As long as filters of bounded size can hold them, nothing is joined: an
+    anchor that a filter lets pass by mistake only makes a segment more. Beyond
+    that bound the anchors are joined and the documents get theirs as lists.
+    """
     found = anchors(docs.select("id", "text"))
     counts = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("count")).where("low < high")
-    repeated = found.join(counts.select("anchor", (F.col("count") >= HOT).alias("hot")), "anchor")
-    by_document = repeated.groupBy("id").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    counts, _ = shared.written(counts.select("anchor", (F.col("count") >= HOT).alias("hot")))
+    if counts.count() <= MAX_FILTERED:
+        return docs, Repeated(id_filter(counts.select("anchor")), id_filter(counts.where("hot").select("anchor")))
+    by_document = found.join(counts, "anchor").groupBy("id").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    return docs.join(by_document, "id", "left"), Repeated()
+
+
+class Cut:
+    """A block of documents with the segments that its repeated anchors make."""
+
+    def __init__(self, part: pa.RecordBatch, block: Block, known: Repeated):
+        self.ids = column(part, "id")
+        at, doc, place, best, (self.starts, self.ends, first, hashes) = anchored(block)
+        cold, hot = known.tests(part, doc, best)
+        has_id = self.ids.is_valid().to_numpy(zero_copy_only=False)
+        cold, hot = cold & has_id[doc], hot & has_id[doc]
+        begins = np.ones(len(at), bool)
+        begins[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+        heads = np.flatnonzero(begins)
+        tails = np.append(heads[1:], len(at)) - 1
+        take = cold[heads] if len(heads) else np.zeros(0, bool)
+        heads, tails, singles = heads[take], tails[take[: len(tails)]] if len(heads) else heads, np.flatnonzero(hot)
+        self.head = np.concatenate([at[heads], at[singles]])
+        self.tail = np.concatenate([at[tails], at[singles]]) + LENGTH - 1
+        runs = windows(hashes, LENGTH)
+        self.route = np.concatenate([best[heads], runs[at[singles]].view(np.int64)])
+        self.doc = np.concatenate([doc[heads], doc[singles]])
+        self.start = self.head - first[self.doc]
+        self.candidate = np.zeros(len(block), bool)
+        self.candidate[self.doc] = True
+        self.rows = np.array([int.from_bytes(_key(block.raw(k), 8), "little", signed=True) if c else 0 for k, c in enumerate(self.candidate.tolist())], np.int64)
+
+    def contents(self, block: Block) -> tuple[list[bytes], np.ndarray]:
+        """The bytes of each segment, and two 64-bit keys of them."""
+        data = block.data.tobytes()
+        content = [data[s:e] for s, e in zip(self.starts[self.head].tolist(), self.ends[self.tail].tolist(), strict=True)]
+        return content, np.frombuffer(b"".join(map(_key, content)), np.int64).reshape(-1, 2)
+
+
+def _merged(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row of each pair of keys: its place, and the least and largest id."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]).any(1)
+    at = np.flatnonzero(new)
+    if not len(at):
+        return order, low, high
+    return order[at], np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at)
+
+
+def segments(docs: DataFrame, known: Repeated) -> DataFrame:
+    """(route, k1, k2, content, low, high): equal segments of a task's documents merged, with their least and largest id."""
+    shared_ = docs.sparkSession.sparkContext.broadcast(known)
+    names = ["route", "k1", "k2", "content", "low", "high"]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("route", pa.int64()), ("content", pa.binary())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-        def table(kind: int, n: int, part: pa.RecordBatch | None = None, **columns) -> pa.RecordBatch:
-            own = [pa.array([kind] * n, pa.int32()) if f.name == "kind" else columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema]
-            more = [pa.nulls(n, t) if part is None else column(part, k) for k, t in kinds.items()]
-            return pa.RecordBatch.from_arrays(own + more, [*schema.names, *kinds])
+        def flush() -> pa.RecordBatch:
+            route, keys, low = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
+            content = pa.concat_arrays([h[3] for h in held])
+            at, low, high = _merged(keys, low, low)
+            return pa.RecordBatch.from_arrays([pa.array(route[at]), pa.array(keys[at, 0]), pa.array(keys[at, 1]), content.take(pa.array(at)), pa.array(low), pa.array(high)], names)
 
-        kinds: dict[str, pa.DataType] = {}
         for batch in batches:
-            kinds.update({k: column(batch, k).type for k in keep})
+            for block in blocks(column(batch, "text")):
+                cut = Cut(batch.slice(block.rows[0], len(block)), block, shared_.value)
+                if len(cut.head):
+                    content, keys = cut.contents(block)
+                    held.append((cut.route, keys, cut.ids.take(pa.array(cut.doc)).to_numpy(), pa.array(content, pa.binary())))
+                    n += len(content)
+                if n > 200_000:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, "route long, k1 long, k2 long, content binary, low long, high long")
+
+
+def places(docs: DataFrame, known: Repeated) -> DataFrame:
+    """(k1, k2, id, row, start): where segments begin in their documents."""
+    shared_ = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(column(batch, "text")):
+                cut = Cut(batch.slice(block.rows[0], len(block)), block, shared_.value)
+                if len(cut.head):
+                    _, keys = cut.contents(block)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), cut.ids.take(pa.array(cut.doc)), pa.array(cut.rows[cut.doc]), pa.array(cut.start.astype(np.int32))], ["k1", "k2", "id", "row", "start"])
+
+    return docs.mapInArrow(run, "k1 long, k2 long, id long, row long, start int")
+
+
+def documents(docs: DataFrame, known: Repeated, candidates: bool, with_text: bool, keep: dict[str, str]) -> DataFrame:
+    """Candidates: (id, row, text) of documents with segments. Others, with nothing to remove: (id, n_words, n_removed, kept_sha256 and, by ``with_text``, text). Both with columns to keep."""
+    shared_ = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             for block in blocks(column(batch, "text")):
                 part = batch.slice(block.rows[0], len(block))
-                ids, texts = column(part, "id"), column(part, "text")
-                candidate = column(part, "cold").is_valid().to_numpy(zero_copy_only=False)
-                done = np.flatnonzero(~candidate)
-                if len(done):
-                    digests = [_digest(block.raw(k)) for k in done.tolist()]
-                    more = {"text": texts.take(pa.array(done)).cast(pa.string())} if with_text else {}
-                    yield table(DONE, len(done), part.take(pa.array(done)), id=ids.take(pa.array(done)), n_words=pa.array([d[0] for d in digests], pa.int64()), sha256=pa.array([d[1] for d in digests]), **more)
-                if not candidate.any():
-                    continue
-                some = np.flatnonzero(candidate)
-                keys = np.array([_row_key(block.raw(k)) if c else 0 for k, c in enumerate(candidate.tolist())], np.int64)
-                yield table(DOCUMENT, len(some), part.take(pa.array(some)), id=ids.take(pa.array(some)), row=pa.array(keys[some]), text=texts.take(pa.array(some)).cast(pa.string()))
-                at, doc, place, best, (starts, ends, first, hashes) = anchored(block)
-                # (document, anchor) pairs as one number each
-                def pairs(name: str, part: pa.RecordBatch = part) -> np.ndarray:
-                    lists = column(part, name)
-                    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                    return np.sort(mix(values.view(np.uint64) ^ mix(np.repeat(np.arange(len(lengths)), lengths).astype(np.uint64) + np.uint64(1))))
-
-                own = mix(best.view(np.uint64) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
-                cold, hot = np.isin(own, pairs("cold")), np.isin(own, pairs("hot"))
-                begins = np.ones(len(at), bool)
-                begins[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
-                heads = np.flatnonzero(begins)
-                tails = np.append(heads[1:], len(at)) - 1
-                take = cold[heads]
-                heads, tails = heads[take], tails[take]
-                singles = np.flatnonzero(hot)
-                runs = windows(hashes, LENGTH)
-                head, tail = np.concatenate([at[heads], at[singles]]), np.concatenate([at[tails], at[singles]]) + LENGTH - 1
-                if not len(head):
+                cut = Cut(part, block, shared_.value)
+                some = np.flatnonzero(cut.candidate == candidates)
+                if not len(some):
                     continue
-                route = np.concatenate([best[heads], runs[at[singles]].view(np.int64)])
-                which = np.concatenate([doc[heads], doc[singles]])
-                data = block.data.tobytes()
-                content = [data[s:e] for s, e in zip(starts[head].tolist(), ends[tail].tolist(), strict=True)]
-                yield table(SEGMENT, len(head), id=ids.take(pa.array(which)), row=pa.array(keys[which]), start=pa.array((head - first[which]).astype(np.int32)), route=pa.array(route), content=pa.array(content, pa.binary()))
+                own = part.take(pa.array(some))
+                text = column(own, "text").cast(pa.string())
+                rest = [column(own, k) for k in keep]
+                if candidates:
+                    yield pa.RecordBatch.from_arrays([column(own, "id"), pa.array(cut.rows[some]), text, *rest], ["id", "row", "text", *keep])
+                else:
+                    digests = [_digest(block.raw(k)) for k in some.tolist()]
+                    columns = [column(own, "id"), pa.array([d[0] for d in digests], pa.int64()), pa.array(np.zeros(len(some), np.int64)), pa.array([d[1] for d in digests])]
+                    yield pa.RecordBatch.from_arrays(columns + [text] * with_text + rest, ["id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text + [*keep])
 
-    return docs.join(by_document, "id", "left").mapInArrow(rows, STAGED + "".join(f", {k} {kind}" for k, kind in keep.items()))
+    more = "".join(f", {k} {kind}" for k, kind in keep.items())
+    return docs.mapInArrow(run, ("id long, row long, text string" if candidates else "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text) + more)
 
 
-def reports(segments: DataFrame) -> DataFrame:
-    """(route, k1, k2, lows) of distinct segments: for each of its runs the least id of a document that has it."""
-    merged = segments.groupBy("route", "k1", "k2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("content").alias("content"))
+def reports(found: DataFrame) -> DataFrame:
+    """(k1, k2, lows) of distinct segments: for each of its runs the least id of a document that has it; only of those where that tells anything."""
 
     def indexed(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        low, high = column(table, "low").to_numpy(), column(table, "high").to_numpy()
+        keys = np.stack([column(table, "k1").to_numpy(), column(table, "k2").to_numpy()], 1)
+        once, low, high = _merged(keys, column(table, "low").to_numpy(), column(table, "high").to_numpy())
+        table = table.take(pa.array(once))
         (block,) = blocks(column(table, "content"), 1 << 62)
         starts, ends, first = block.spans()
         _, codes = np.unique(block.hashes(starts, ends), return_inverse=True)
@@ -171,7 +261,7 @@ def reports(segments: DataFrame) -> DataFrame:
         told = np.flatnonzero(np.minimum.reduceat(lows, bounds[:-1]) < high)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts[told])]), pa.int32()), pa.array(lows[np.isin(of, told)]))
         taken = table.take(pa.array(told))
-        yield pa.RecordBatch.from_arrays([column(taken, "route"), column(taken, "k1"), column(taken, "k2"), lists], ["route", "k1", "k2", "lows"])
+        yield pa.RecordBatch.from_arrays([column(taken, "k1"), column(taken, "k2"), lists], ["k1", "k2", "lows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words = [], 0
@@ -184,8 +274,8 @@ def reports(segments: DataFrame) -> DataFrame:
         if held:
             yield from indexed(held)
 
-    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return merged.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(run, "route long, k1 long, k2 long, lows array<long>")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(run, "k1 long, k2 long, lows array<long>")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, keep: list[str] = ()) -> DataFrame:
@@ -198,11 +288,10 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
     kinds = {f.name: f.dataType.simpleString() for f in source.schema if f.name.startswith("_keep_")}
-    stage, _ = shared.written(staged(source, with_text, kinds))
-    segments = stage.where(F.col("kind") == SEGMENT).select("id", "row", "start", "route", "content").withColumn("k1", F.xxhash64("content")).withColumn("k2", F.xxhash64(F.lit(1), "content"))
-    told = segments.select("id", "row", "start", "route", "k1", "k2").join(reports(segments), ["route", "k1", "k2"])
+    source, known = repeated(source)
+    told = places(source, known).join(reports(segments(source, known)), ["k1", "k2"])
     told = told.where(F.array_min("lows") < F.col("id")).groupBy("id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("lows").alias("lows"))
-    texts = stage.where(F.col("kind") == DOCUMENT).select("id", "row", "text", *kinds).join(told, ["id", "row"], "left")
+    texts = documents(source, known, True, with_text, kinds).join(told, ["id", "row"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +324,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     shown = ["id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text + [*kinds]
     changed = texts.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text + "".join(f", {k} {kind}" for k, kind in kinds.items()))
-    done = stage.where(F.col("kind") == DONE).select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"), *["text"] * with_text, *kinds)
+    done = documents(source, known, False, with_text, kinds)
     return done.unionByName(changed).select(*shown).withColumnsRenamed({"id": id_col} | ({"text": text_col} if with_text else {}) | {f"_keep_{k}": c for k, c in enumerate(keep)})
 
 

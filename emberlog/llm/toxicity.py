@@ -135,14 +135,17 @@ def train(texts: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndar
         w -= rate * gradient / np.sqrt(sums)
         sum_b += error.sum() ** 2
         b -= rate * error.sum() / np.sqrt(sum_b)
-    # the bias moves so that the best cut of the training scores, by F1, is at one half
+    # the bias moves so that the best cut of the training scores, by F1 among those of at least even precision, is at one half
     z = np.bincount(row, w[feature], n) + b
     order = np.argsort(-z, kind="stable")
     hits = np.cumsum(labels[order])
     f1 = 2 * hits / (np.arange(1, n + 1) + labels.sum())
     last = np.append(z[order][:-1] > z[order][1:], True)
-    best = int(np.argmax(np.where(last, f1, -1)))
-    cut = (z[order][best] + z[order][min(best + 1, n - 1)]) / 2
+    good = last & (2 * hits >= np.arange(1, n + 1))
+    if not good.any():
+        return Model(hashes, w, float(b - z[order][0] - 1))
+    best = int(np.argmax(np.where(good, f1, -1)))
+    cut = (z[order][best] + z[order][best + 1]) / 2 if best + 1 < n else z[order][best] - 1
     return Model(hashes, w, float(b - cut))
 
 

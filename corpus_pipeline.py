@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import language, neardup, packing, shared, substrings, toxicity
+from emberlog.llm import filters, language, neardup, packing, shared, substrings, toxicity
 from emberlog.llm.queries import table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,11 +35,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the row of least id stays; rows without an id all stay.
 
     Rows that repeat the id and text of one that stays are duplicates too: one of them stays.
+    Only texts that may have to go or are repeated are shuffled; the others pass.
     """
-    judged = neardup.near_duplicates(docs, n=5).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = judged.where(~F.col("kept")).select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]).unionByName(left.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    judged, _ = shared.written(neardup.near_duplicates(docs, n=5).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("doc_id is not null and (not kept or rows > 1)"))
+    doubtful = filters.id_filter(judged.select("doc_id"))
+    some = filters.passing(docs, doubtful, "doc_id").join(judged.where(~F.col("kept")), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return filters.passing(docs, doubtful, "doc_id", inverse=True).unionByName(some).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

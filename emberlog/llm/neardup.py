@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import shared
 from emberlog.llm.components import components
+from emberlog.llm.filters import id_filter, passing
 from emberlog.llm.shingles import shingle_sets
 from emberlog.llm.text import blocks, column, mix
 
@@ -129,8 +130,8 @@ def match_edges(reps: DataFrame, need: int) -> DataFrame:
     """Edges (a, b) between classes whose signatures agree in ``need`` coordinates: of each posting list a spanning forest."""
     posted = reps.select(F.col("id").alias("rep"), F.posexplode("sig")).select("rep", F.xxhash64("pos", "col").alias("key"))
     counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-    shared_ = posted.join(counts, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("keys"))  # K at most
-    prefix = shared_.where(F.size("keys") >= need).select("rep", F.explode(F.transform(F.slice("keys", F.lit(1), F.size("keys") - (need - 1)), lambda x: x["key"])).alias("key"))
+    shared_ = posted.join(counts.withColumn("count", F.least("count", F.lit(2**31 - 1)).cast("int")), "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("keys"))  # K at most
+    prefix, _ = shared.written(shared_.where(F.size("keys") >= need).select("rep", F.explode(F.transform(F.slice("keys", F.lit(1), F.size("keys") - (need - 1)), lambda x: x["key"])).alias("key")))
     again = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
     lists = tiled(prefix.join(again.select("key"), "key", "left_semi"), "key", "rep", LIST)
     rows = lists.join(reps.select(F.col("id").alias("rep"), "sig"), "rep").select("key", "tile_i", "tile_j", "rep", "sig")
@@ -153,6 +154,8 @@ def match_edges(reps: DataFrame, need: int) -> DataFrame:
 def link_edges(docs: DataFrame, clusters: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """A spanning forest of the true links within clusters (id, component), tested on full sets."""
     above, of = threshold
+    # most documents are in no cluster: their texts stay out of the shuffle
+    docs = passing(docs, id_filter(clusters.select("id")), "id")
     routes = tiled(clusters, "component", "id", 2 * TILE).groupBy("id").agg(F.first("component").alias("component"), F.collect_set(F.struct("tile_i", "tile_j")).alias("tiles"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +211,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known, _ = shared.written(prepared(source, n))
     reps, _ = shared.written(known.where("size > 0 and id is not null").groupBy("size", "c1", "c2").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")))
     need = matches_needed(threshold[0] / threshold[1])
-    clusters = components(match_edges(reps.select("id", "sig"), need))
+    clusters, _ = shared.written(components(match_edges(reps.select("id", "sig"), need)))
     links = components(link_edges(source, clusters, n, threshold))
     classes = reps.select("size", "c1", "c2", F.col("id").alias("rep")).join(links.withColumnRenamed("id", "rep"), "rep", "left").select("size", "c1", "c2", F.coalesce("component", "rep").alias("component"))
     found = known.drop("sig").join(classes, ["size", "c1", "c2"], "left")

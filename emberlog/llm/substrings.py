@@ -132,9 +132,9 @@ class Cut:
         begins = np.ones(len(at), bool)
         begins[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
         heads = np.flatnonzero(begins)
-        tails = np.append(heads[1:], len(at)) - 1
-        take = cold[heads] if len(heads) else np.zeros(0, bool)
-        heads, tails, singles = heads[take], tails[take[: len(tails)]] if len(heads) else heads, np.flatnonzero(hot)
+        tails = np.append(heads[1:], len(at))[: len(heads)] - 1
+        take = cold[heads]
+        heads, tails, singles = heads[take], tails[take], np.flatnonzero(hot)
         self.head = np.concatenate([at[heads], at[singles]])
         self.tail = np.concatenate([at[tails], at[singles]]) + LENGTH - 1
         runs = windows(hashes, LENGTH)
@@ -286,6 +286,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     joined by one space. Of rows that share an id none counts as smaller; rows
     without an id are never removed from and remove from nothing. A null text has no words and stays null.
     """
+    shared.small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
     kinds = {f.name: f.dataType.simpleString() for f in source.schema if f.name.startswith("_keep_")}
     source, known = repeated(source)
@@ -297,16 +298,21 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for block in blocks(column(batch, "text")):
                 part = batch.slice(block.rows[0], len(block))
-                ids = column(part, "id").to_pylist()
-                starts_of, lows_of = column(part, "starts").to_pylist(), column(part, "lows").to_pylist()
+                ids = column(part, "id").to_numpy()
                 starts, ends, first = block.spans()
+                # all runs of all segments at once: marks where a run that goes begins and ends
+                in_doc, in_segment = column(part, "starts"), column(part, "lows").flatten()
+                of = np.repeat(np.arange(len(block)), pc.fill_null(pc.list_value_length(in_doc), 0).to_numpy(zero_copy_only=False))
+                counts = pc.list_value_length(in_segment).to_numpy(zero_copy_only=False).astype(np.int64)
+                runs_of = np.repeat(np.arange(len(of)), counts)
+                at = (first[of] + in_doc.flatten().to_numpy(zero_copy_only=False))[runs_of] + np.arange(len(runs_of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = at[in_segment.flatten().to_numpy(zero_copy_only=False) < ids[of][runs_of]].astype(np.int64)
+                marks = np.bincount(at, minlength=len(starts) + LENGTH + 1) - np.bincount(at + LENGTH, minlength=len(starts) + LENGTH + 1)
+                all_gone = np.cumsum(marks)[: len(starts)] > 0
                 out = []
-                for k, id_ in enumerate(ids):
+                for k, id_ in enumerate(ids.tolist()):
                     s, e = starts[first[k] : first[k + 1]], ends[first[k] : first[k + 1]]
-                    gone = np.zeros(len(s), bool)
-                    for at, lows in zip(starts_of[k] or (), lows_of[k] or (), strict=True):
-                        for j in np.flatnonzero(np.array(lows) < id_).tolist():
-                            gone[at + j : at + j + LENGTH] = True
+                    gone = all_gone[first[k] : first[k + 1]]
                     left = np.flatnonzero(~gone)
                     if len(left) == len(s):
                         text = block.raw(k)

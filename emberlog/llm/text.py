@@ -7,13 +7,14 @@ is never split), so that memory stays bounded whatever the Arrow batch holds.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 #: Bytes that end a word: space and U+0009 to U+000D.
 SEPARATORS = np.zeros(256, bool)
@@ -26,6 +27,7 @@ NOT_LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *ra
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -91,6 +93,13 @@ class Block:
         return mix(own ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker that waits for its next task shares a machine with others."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of an Arrow array of strings; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
@@ -108,6 +117,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield Block(range(at, to), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
+    give_back()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -137,9 +147,12 @@ class Codes:
 
     ``look`` returns for each string its place in ``values``; unknown strings
     are sent, each once, through ``encode``. Past ``bound`` entries all are forgotten.
+    A worker keeps one table: when another is used, the one before is emptied.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bound: int = 2_000_000):
+    held: Codes | None = None
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bound: int = 500_000):
         """encode: from byte strings to all their codes and each string's number of codes."""
         self.encode, self.bound = encode, bound
         self.clear()
@@ -157,6 +170,10 @@ class Codes:
         return np.where(keys[i] == wanted, at[i], -1)
 
     def look(self, block: Block, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, prefix: bytes = b"") -> np.ndarray:
+        if Codes.held is not self:
+            if Codes.held is not None:
+                Codes.held.clear()
+            Codes.held = self
         wanted, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.lengths) > self.bound:
             self.clear()

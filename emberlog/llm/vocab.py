@@ -28,7 +28,7 @@ def _string(raw: bytes) -> str:
 class Encoder:
     """Codes of whole documents by way of distinct pieces."""
 
-    def __init__(self, bound: int = 2_000_000):
+    def __init__(self, bound: int = 500_000):
         self.codes = Codes(self.pieces, bound)
 
     def cut(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +96,7 @@ class WordEncoder(Encoder):
     NUMBERS = "".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == "N")
     PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 
-    def __init__(self, path: str, bound: int = 2_000_000):
+    def __init__(self, path: str, bound: int = 500_000):
         super().__init__(bound)
         self.library = load(path)
         vocabulary = self.library.get_vocab(with_added_tokens=True)
@@ -128,7 +128,7 @@ class ByteEncoder(Encoder):
     space, so none reaches across pieces.
     """
 
-    def __init__(self, path: str, bound: int = 2_000_000):
+    def __init__(self, path: str, bound: int = 500_000):
         super().__init__(bound)
         self.library = load(path)
         vocabulary = self.library.get_vocab(with_added_tokens=True)

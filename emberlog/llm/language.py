@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.llm import shared
 from emberlog.llm.text import NOT_LETTERS, Block, Codes, blocks, column, mix
 
 ORDER = 4
@@ -29,7 +30,7 @@ MAX_GRAMS = 1_000_000
 #: Share of the way from a language's own entropy to that of noise beyond which a document is rejected.
 REJECT = 0.75
 #: Distinct words that a task counts before it turns them into n-grams.
-MAX_WORDS = 200_000
+MAX_WORDS = 50_000
 UNKNOWN = "und"
 
 
@@ -219,6 +220,7 @@ def held_out(id_: Column) -> Column:
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS) -> Model:
     """Learns from all documents with a known language and text that aren't held out."""
+    shared.small_batches(docs.sparkSession)
     train = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counted = count_grams(train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), *(f"g{k}" for k in range(ORDER)))
@@ -234,11 +236,12 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     A null text, one without a letter, or any text when no language was learned, is
     ``und`` with score 0, a null cross-entropy, and is rejected. Repeated rows are judged each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared.small_batches(docs.sparkSession)
+    model_ = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model_.value
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
             rest = [column(batch, f"_keep_{k}") for k in range(len(keep))]

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm import vocab
+from emberlog.llm import shared, vocab
 from emberlog.llm.text import blocks, column
 
 #: Open windows a partition holds at most; beyond it the least filled are poured together.
@@ -185,6 +185,7 @@ def pack(docs: DataFrame, path: str, *, end_id: int = 2, size: int = 4096, id_co
         if rows:
             yield table(rows)
 
+    shared.small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids).withColumnRenamed("id", id_col)

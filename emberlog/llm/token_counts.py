@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm import vocab
+from emberlog.llm import shared, vocab
 from emberlog.llm.text import blocks, column
 
 #: Documents from which frequent pre-tokens are taken (the least by a hash of the id), and entries of tier one at most.
@@ -86,6 +86,7 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
 
     An empty text has 0 tokens. Columns apart from the two are not read.
     """
+    shared.small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, id_col=id_col, text_col=text_col))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm import shared
 from emberlog.llm.language import held_out
 from emberlog.llm.text import LOWER, NOT_LETTERS, Block, blocks, column
 
@@ -167,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     Null labels and ids, and ids without a document, are left out. An id labelled more than once counts with its largest label.
     """
+    shared.small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).alias("label"))
     # two samples of fixed size: bounded, so that they can be broadcast
     sample = None
@@ -196,11 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """(id, score, predicted, and columns to keep) of every row; a null or empty text has the score of the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared.small_batches(docs.sparkSession)
+    model_ = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model_.value
         for batch in batches:
             rest = [column(batch, f"_keep_{k}") for k in range(len(keep))]
             for block in blocks(column(batch, "_text")):

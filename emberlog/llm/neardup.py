@@ -29,7 +29,7 @@ from emberlog.llm import shared
 from emberlog.llm.components import components
 from emberlog.llm.filters import id_filter, passing
 from emberlog.llm.shingles import shingle_sets
-from emberlog.llm.text import blocks, column, mix
+from emberlog.llm.text import Codes, blocks, column, mix
 
 K, SEED = 64, 20240229
 #: Largest posting list or cluster that one task takes whole; larger ones are dealt into tiles.
@@ -61,6 +61,7 @@ def prepared(docs: DataFrame, n: int) -> DataFrame:
     """(id, size, c1, c2, sig): set size, a 128-bit identity of the set, and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Codes.release()
         for batch in batches:
             for block in blocks(column(batch, "text")):
                 h, first = shingle_sets(block, n)

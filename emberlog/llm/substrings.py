@@ -27,7 +27,7 @@ from emberlog.llm import shared
 from emberlog.llm.filters import BITS_PER_ID, MAX_BITS, IdFilter, id_filter
 from emberlog.llm.fmindex import Index, least_of
 from emberlog.llm.neardup import grouped
-from emberlog.llm.text import Block, blocks, column, inner, mix, windows
+from emberlog.llm.text import Block, Codes, blocks, column, inner, mix, windows
 
 LENGTH, ANCHOR = 13, 4
 #: Documents that share an anchor from which on its runs are dealt out one by one.
@@ -57,6 +57,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     """(id, anchor), distinct in each row of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Codes.release()
         for batch in batches:
             ids = column(batch, "id").to_numpy()
             for block in blocks(column(batch, "text")):

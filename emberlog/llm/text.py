@@ -162,6 +162,13 @@ class Codes:
         self.new_keys, self.new_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.lengths, self.starts, self.codes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    @staticmethod
+    def release() -> None:
+        """Empties this worker's table; for operators that use none."""
+        if Codes.held is not None:
+            Codes.held.clear()
+            Codes.held = None
+
     @staticmethod
     def _find(keys: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         if not len(keys):

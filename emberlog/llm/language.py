@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import shared
@@ -25,8 +25,6 @@ from emberlog.llm.text import NOT_LETTERS, Block, Codes, blocks, column, mix
 
 ORDER = 4
 BEGIN, END = 2, 3
-#: 4-grams kept in all languages together, the most frequent of each; bounds what is collected and broadcast (about 40 bytes and 4 for each language).
-MAX_GRAMS = 1_000_000
 #: Share of the way from a language's own entropy to that of noise beyond which a document is rejected.
 REJECT = 0.75
 #: Distinct words that a task counts before it turns them into n-grams.
@@ -164,16 +162,17 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def estimate(lang: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Model:
     """A model from 4-gram counts; the discount of an order is n1 / (n1 + 2 n2)."""
-    languages = sorted(set(lang.tolist()))
+    languages = sorted(set(lang))
     model = Model(languages)
     if not languages:
         return model
-    which = np.searchsorted(np.array(languages), lang)
+    index = {x: k for k, x in enumerate(languages)}
+    which = np.fromiter(map(index.__getitem__, lang), np.int64, len(lang))
     level = {ORDER: (which, grams, n.astype(np.float64))}
     for order in range(ORDER - 1, 0, -1):  # continuation counts
         w, g, _ = level[order + 1]
-        rows, counts = np.unique(np.concatenate([w[:, None], g[:, 1:]], 1), axis=0, return_counts=True)
-        level[order] = rows[:, 0], rows[:, 1:], counts.astype(np.float64)
+        _, at, counts = np.unique(keys_of(np.concatenate([w[:, None], g[:, 1:]], 1)), return_index=True, return_counts=True)
+        level[order] = w[at], g[at, 1:], counts.astype(np.float64)
     width, lower = len(languages), None
     alphabet = len(np.unique(level[1][1])) + 1
     for order in range(1, ORDER + 1):
@@ -218,16 +217,18 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS) -> Model:
-    """Learns from all documents with a known language and text that aren't held out."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learns from all documents with a known language and text that aren't held out; the model holds every 4-gram counted."""
     shared.small_batches(docs.sparkSession)
     train = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counted = count_grams(train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), *(f"g{k}" for k in range(ORDER)))
-    languages = max(1, docs.select(F.col(lang_col)).distinct().count())
-    found = counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(1000, max_grams // languages)).drop("rank").toPandas()
-    found = found.sort_values(list(found.columns))
-    return estimate(found["lang"].to_numpy(), found[[f"g{k}" for k in range(ORDER)]].to_numpy(np.int64).reshape(-1, ORDER), found["n"].to_numpy())
+    found = counted.toArrow()
+    lang = found.column("lang").combine_chunks().dictionary_encode()
+    grams = np.stack([found.column(f"g{k}").to_numpy() for k in range(ORDER)], 1)
+    order = np.lexsort([*grams.T[::-1], lang.indices.to_numpy()])
+    names = np.array(lang.dictionary.to_pylist(), object)
+    return estimate(names[lang.indices.to_numpy()[order]], grams[order], found.column("n").to_numpy()[order])
+
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:

@@ -70,6 +70,19 @@ def test_language_edges(spark, awkward, empty, texts):
     assert language.predict(empty, model).count() == 0
 
 
+def test_language_model_holds_all_grams(spark):
+    """A language among very many, of which most 4-grams are seen once, keeps them all."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = np.random.default_rng(3)
+    rare = ["".join(rng.choice(list(letters), 6)) for _ in range(600)]
+    rows = [("x", " ".join(rare))] + [(f"l{k}", "ab") for k in range(600)]
+    docs = spark.createDataFrame([(1, t, x) for x, t in rows], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    grams, _ = language.grams_of([*rare, "ab"])
+    assert len(model.languages) == 601 and np.isin(language.keys_of(grams), model.grams[-1][0]).all()
+    assert len(model.grams[-1][0]) == len(np.unique(grams, axis=0)) > 1_000_000 // 601
+
+
 def test_noise_is_rejected(spark, medium):
     docs = queries.table(spark, medium, "documents")
     model = language.fit(docs)

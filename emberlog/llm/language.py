@@ -6,8 +6,9 @@ task counts distinct words first and their n-grams once, Spark adds the counts
 up, and lower orders take continuation counts. Probabilities of seen n-grams
 and weights of seen contexts are kept in arrays sorted by a 64-bit hash, with
 one column for each language. A document goes to the language of the lowest
-cross-entropy per character; it is rejected if even that is nearer to the
-entropy of evenly drawn characters than to the language's own.
+cross-entropy per character; it is rejected if even that lies far above what
+the language's own documents have of that length under a model that hasn't
+seen them: each half of the training documents is scored by a model of the other.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ from emberlog.llm.text import NOT_LETTERS, Block, Codes, blocks, column, mix
 
 ORDER = 4
 BEGIN, END = 2, 3
-#: Share of the way from a language's own entropy to that of noise beyond which a document is rejected.
-REJECT = 0.75
+#: Distances between the median and the last decile of a language's left-out documents beyond which a document is rejected.
+REJECT = 20
+#: Characters of a document whose entropy varies by chance as much as it does between documents: the spread is as sqrt(1 + SHORT / n).
+SHORT = 200
+#: Fewest left-out documents that tell a language's limit; one with less rejects nothing but texts without letters.
+ENOUGH = 20
 #: Distinct words that a task counts before it turns them into n-grams.
 MAX_WORDS = 50_000
 UNKNOWN = "und"
@@ -106,16 +111,16 @@ class Model:
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by order: hashes, log probabilities
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by length: hashes, log weights
     unknown: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log probability of a character never seen
-    own: np.ndarray = field(default_factory=lambda: np.zeros(0))  # entropy of each language under its own model
-    noise: float = 0.0
+    usual: np.ndarray = field(default_factory=lambda: np.zeros(0))  # median entropy of each language's left-out documents
+    spread: np.ndarray = field(default_factory=lambda: np.zeros(0))  # from there to their last decile, for long documents
     cache: Codes | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"cache": None}
 
-    @property
-    def limits(self) -> np.ndarray:
-        return self.own + REJECT * np.maximum(self.noise - self.own, 0)
+    def limits(self, which: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The highest entropy that isn't rejected, of documents of n characters in these languages."""
+        return self.usual[which] + REJECT * self.spread[which] * np.sqrt(1 + SHORT / np.maximum(n, 1))
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word in each language, and its characters with the end mark (0: no letter in it)."""
@@ -174,6 +179,7 @@ def estimate(lang: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Model:
         _, at, counts = np.unique(keys_of(np.concatenate([w[:, None], g[:, 1:]], 1)), return_index=True, return_counts=True)
         level[order] = w[at], g[at, 1:], counts.astype(np.float64)
     width, lower = len(languages), None
+    model.usual, model.spread = np.full(width, np.inf), np.zeros(width)
     alphabet = len(np.unique(level[1][1])) + 1
     for order in range(1, ORDER + 1):
         w, g, c = level[order]
@@ -204,11 +210,6 @@ def estimate(lang: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Model:
             model.contexts.append((known, np.log(weight).astype(np.float32)))
         lower = union, np.log(p)
         model.grams.append((union, np.log(p).astype(np.float32)))
-    w, g, c = level[ORDER]
-    i, _ = _found(model.grams[-1][0], keys_of(g))
-    total = np.bincount(w, c, width)
-    model.own = np.bincount(w, -c * model.grams[-1][1][i, w], width) / total
-    model.noise = float(np.log(alphabet))
     return model
 
 
@@ -221,13 +222,34 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Learns from all documents with a known language and text that aren't held out; the model holds every 4-gram counted."""
     shared.small_batches(docs.sparkSession)
     train = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counted = count_grams(train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")))
-    found = counted.toArrow()
+    # copies of a text are in one half
+    train = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(2)).alias("half"))
+    names = ["lang", *(f"g{k}" for k in range(ORDER))]
+    counted = count_grams(train.select(F.concat(F.col("half").cast("string"), "lang").alias("lang"), "text")).withColumn("half", F.substring("lang", 1, 1)).withColumn("lang", F.expr("substring(lang, 2)"))
+    found = counted.groupBy(*names).agg(*[F.sum(F.when(F.col("half") == str(k), F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2)]).toArrow()
     lang = found.column("lang").combine_chunks().dictionary_encode()
     grams = np.stack([found.column(f"g{k}").to_numpy() for k in range(ORDER)], 1)
     order = np.lexsort([*grams.T[::-1], lang.indices.to_numpy()])
-    names = np.array(lang.dictionary.to_pylist(), object)
-    return estimate(names[lang.indices.to_numpy()[order]], grams[order], found.column("n").to_numpy()[order])
+    lang, grams = np.array(lang.dictionary.to_pylist(), object)[lang.indices.to_numpy()[order]], grams[order]
+    halves = [found.column(f"n{k}").to_numpy()[order] for k in range(2)]
+    del found
+    model = estimate(lang, grams, halves[0] + halves[1])
+    if model.languages:
+        calibrate(model, train, [estimate(lang[n > 0], grams[n > 0], n[n > 0]) for n in halves])
+    return model
+
+
+def calibrate(model: Model, train: DataFrame, halves: list[Model]) -> None:
+    """Sets the limits from the entropies of all training documents (lang, text, half), each under the model of the other half."""
+    parts = [_judged(train.where(F.col("half") == k), halves[1 - k], "half", "text", ["lang"]) for k in range(2)]
+    own, path = shared.written(parts[0].unionByName(parts[1]).where(F.col("_keep_0") == F.col("lang_pred")).where("cross_entropy is not null").select("lang_pred", "cross_entropy", "_n"))
+    usual = own.groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", 0.5).alias("usual"), F.count(F.lit(1)).alias("docs"))
+    above = (F.col("cross_entropy") - F.col("usual")) / F.sqrt(1 + SHORT / F.col("_n"))
+    spread = own.join(F.broadcast(usual), "lang_pred").groupBy("lang_pred", "usual", "docs").agg(F.percentile_approx(above, 0.9).alias("spread"))
+    for r in spread.where(F.col("docs") >= ENOUGH).collect():
+        k = model.languages.index(r.lang_pred)
+        model.usual[k], model.spread[k] = r.usual, r.spread
+    shared.remove(train.sparkSession, path)
 
 
 
@@ -238,6 +260,11 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     ``und`` with score 0, a null cross-entropy, and is rejected. Repeated rows are judged each.
     """
     shared.small_batches(docs.sparkSession)
+    return _judged(docs, model, id_col, text_col, keep).drop("_n").withColumnsRenamed({"_id": id_col} | {f"_keep_{k}": c for k, c in enumerate(keep)})
+
+
+def _judged(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """What predict gives, with the id as ``_id``, columns to keep as ``_keep_0`` and so on, and characters as ``_n``."""
     model_ = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
 
@@ -256,15 +283,15 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                     lowest = entropy[np.arange(len(best)), best]
                     share = np.exp((lowest[:, None] - entropy) * np.minimum(n, 20)[:, None])
                     score = np.where(known, 1 / share.sum(1), 0.0)
-                    rejected = ~known | (lowest > m.limits[best])
+                    rejected = ~known | (lowest > m.limits(best, n))
                     pred = names[np.where(known, best, len(m.languages))]
                 else:
-                    known = np.zeros(len(block), bool)
+                    known, n = np.zeros(len(block), bool), np.zeros(len(block))
                     score, lowest, rejected, pred = np.zeros(len(block)), np.zeros(len(block)), ~known, np.full(len(block), UNKNOWN, object)
                 size = part.stop - part.start
-                out = [column(batch, "_id").slice(part.start, size), pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(lowest, pa.float64(), mask=~known), pa.array(rejected)]
-                yield pa.RecordBatch.from_arrays(out + [c.slice(part.start, size) for c in rest], ["_id", "lang_pred", "score", "cross_entropy", "rejected", *(f"_keep_{k}" for k in range(len(keep)))])
+                out = [column(batch, "_id").slice(part.start, size), pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(lowest, pa.float64(), mask=~known), pa.array(rejected), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(out + [c.slice(part.start, size) for c in rest], ["_id", "lang_pred", "score", "cross_entropy", "rejected", "_n", *(f"_keep_{k}" for k in range(len(keep)))])
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    schema = f"_id {kinds['_id']}, lang_pred string, score double, cross_entropy double, rejected boolean" + "".join(f", _keep_{k} {kinds[f'_keep_{k}']}" for k in range(len(keep)))
-    return source.mapInArrow(run, schema).withColumnsRenamed({"_id": id_col} | {f"_keep_{k}": c for k, c in enumerate(keep)})
+    schema = f"_id {kinds['_id']}, lang_pred string, score double, cross_entropy double, rejected boolean, _n long" + "".join(f", _keep_{k} {kinds[f'_keep_{k}']}" for k in range(len(keep)))
+    return source.mapInArrow(run, schema)

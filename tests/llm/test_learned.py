@@ -91,6 +91,17 @@ def test_noise_is_rejected(spark, medium):
     assert got == {1: True, 2: False}
 
 
+def test_noise_is_rejected_beside_many_characters(spark, medium):
+    """A language of a few thousand characters doesn't loosen the limits of the others."""
+    docs = queries.table(spark, medium, "documents").select("doc_id", "text", "lang")
+    han = [(10**9 + 5 * k, " ".join(chr(0x4E00 + (k * 97 + j * 31) % 5000) * 2 for j in range(60)), "zh") for k in range(150)]
+    model = language.fit(docs.unionByName(spark.createDataFrame(han, docs.schema)))
+    rng = np.random.default_rng(4)
+    noise = [(k, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(60))) for k in range(5)]
+    assert all(r.rejected for r in language.predict(spark.createDataFrame(noise, "doc_id long, text string"), model).collect())
+    assert language.predict(docs, model).where("rejected").count() < 0.01 * docs.count()
+
+
 def test_toxicity_held_out(spark):
     import os
 

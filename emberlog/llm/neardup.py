@@ -57,6 +57,13 @@ def signatures(hashes: np.ndarray, first: np.ndarray, k: int = K) -> np.ndarray:
     return out
 
 
+def identities(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit values for each set that are equal for equal sets."""
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(s)))]) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+    c1, c2 = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
+    return c1, c2
+
+
 def prepared(docs: DataFrame, n: int) -> DataFrame:
     """(id, size, c1, c2, sig): set size, a 128-bit identity of the set, and its signature."""
 
@@ -66,8 +73,7 @@ def prepared(docs: DataFrame, n: int) -> DataFrame:
             for block in blocks(column(batch, "text")):
                 h, first = shingle_sets(block, n)
                 sig = signatures(h, first)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(s)))]) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                c1, c2 = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
+                c1, c2 = identities(h, first)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1) * K, pa.int32()), pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays([column(batch, "id").slice(block.rows[0], len(block)), pa.array(np.diff(first)), pa.array(c1), pa.array(c2), lists], ["id", "size", "c1", "c2", "sig"])
 
@@ -152,22 +158,26 @@ def match_edges(reps: DataFrame, need: int) -> DataFrame:
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def link_edges(docs: DataFrame, clusters: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """A spanning forest of the true links within clusters (id, component), tested on full sets."""
+def link_edges(docs: DataFrame, reps: DataFrame, clusters: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """A spanning forest of the true links within clusters (id, component) of classes, tested on full sets; reps tell a class's set and a document of it."""
     above, of = threshold
+    own = reps.select(F.col("class"), F.col("id").alias("doc"), "size", "c1", "c2").join(clusters.select(F.col("id").alias("class")), "class")
     # most documents are in no cluster: their texts stay out of the shuffle
-    docs = passing(docs, id_filter(clusters.select("id")), "id")
+    docs = passing(docs, id_filter(own.select("doc")), "id").withColumnRenamed("id", "doc")
     routes = tiled(clusters, "component", "id", 2 * TILE).groupBy("id").agg(F.first("component").alias("component"), F.collect_set(F.struct("tile_i", "tile_j")).alias("tiles"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(column(batch, "text")):
                 h, first = shingle_sets(block, n)
+                c1, c2 = identities(h, first)
                 packed = pa.array([h[first[k] : first[k + 1]].tobytes() for k in range(len(block))], pa.binary())
                 part = batch.slice(block.rows[0], len(block))
-                yield pa.RecordBatch.from_arrays([column(part, "id"), column(part, "component"), column(part, "tiles"), packed], ["id", "component", "tiles", "set"])
+                # an id may have other texts than the class's
+                same = (np.diff(first) == column(part, "size").to_numpy()) & (c1 == column(part, "c1").to_numpy()) & (c2 == column(part, "c2").to_numpy())
+                yield pa.RecordBatch.from_arrays([column(part, "id"), column(part, "component"), column(part, "tiles"), packed], ["id", "component", "tiles", "set"]).filter(pa.array(same))
 
-    held = docs.join(routes, "id").mapInArrow(sets, "id long, component long, tiles array<struct<tile_i:int,tile_j:int>>, set binary")
+    held = docs.join(routes.join(own.withColumnRenamed("class", "id"), "id"), "doc").select("id", "component", "tiles", "size", "c1", "c2", "text").mapInArrow(sets, "id long, component long, tiles array<struct<tile_i:int,tile_j:int>>, set binary")
     keys = ["component", "tile_i", "tile_j"]
     rows = held.dropDuplicates(["id"]).select("id", "component", "set", F.explode("tiles").alias("tile")).select("id", "component", "tile.tile_i", "tile.tile_j", "set")
 
@@ -211,11 +221,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared.small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known, _ = shared.written(prepared(source, n))
-    reps, _ = shared.written(known.where("size > 0 and id is not null").groupBy("size", "c1", "c2").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")))
+    some = known.where("size > 0 and id is not null")
+    found = some.groupBy("size", "c1", "c2").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig"))
+    reps, _ = shared.written(found.withColumn("class", F.monotonically_increasing_id()))  # the number stays as written
     need = matches_needed(threshold[0] / threshold[1])
-    clusters, _ = shared.written(components(match_edges(reps.select("id", "sig"), need)))
-    links = components(link_edges(source, clusters, n, threshold))
-    classes = reps.select("size", "c1", "c2", F.col("id").alias("rep")).join(links.withColumnRenamed("id", "rep"), "rep", "left").select("size", "c1", "c2", F.coalesce("component", "rep").alias("component"))
+    clusters, _ = shared.written(components(match_edges(reps.select(F.col("class").alias("id"), "sig"), need)))
+    links = link_edges(source, reps, clusters, n, threshold)
+    for end in ("a", "b"):
+        links = links.join(reps.select(F.col("class").alias(end), F.col("id").alias(f"{end}_id")), end)
+    # an id with several texts links their classes
+    text = F.struct("size", "c1", "c2")
+    several = some.groupBy("id").agg(F.min(text).alias("least"), F.max(text).alias("most")).where("least <> most").select(F.col("id").alias("a"))
+    repeated = some.select(F.col("id").alias("a"), "size", "c1", "c2").join(several, "a", "left_semi").join(reps.select("size", "c1", "c2", F.col("id").alias("b")), ["size", "c1", "c2"]).select("a", "b")
+    joined = components(links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(repeated))
+    classes = reps.select("size", "c1", "c2", F.col("id").alias("rep")).join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("size", "c1", "c2", F.coalesce("component", "rep").alias("component"))
     found = known.drop("sig").join(classes, ["size", "c1", "c2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return found.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

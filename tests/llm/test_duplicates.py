@@ -51,6 +51,20 @@ def test_near_duplicates(awkward, texts):
         assert got == groups(texts, n)
 
 
+def test_an_id_with_several_texts(spark):
+    """Each text of an id is linked by its own words, and links to any of them count for the id."""
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(3)]
+    a, b, c = (" ".join(x) for x in texts)
+    near_a, near_b, near_c = (" ".join([*x[:-1], "changed"]) for x in texts)
+    rows = [(5, a), (5, b), (9, near_b), (7, near_a), (6, c), (5, near_c), (8, c), (20, a), (21, "alone")]
+    for data in (rows, rows[::-1]):
+        docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+        got = Counter(tuple(r) for r in neardup.near_duplicates(docs, n=2).select("doc_id", "n_shingles", "component_id", "kept").collect())
+        assert got == groups(data, 2)
+        assert {r[0] for r in got if r[3]} == {5, 21}
+
+
 def test_large_groups_in_tiles(spark, monkeypatch):
     """Posting lists and clusters beyond one tile give the same groups."""
     monkeypatch.setattr(neardup, "LIST", 8)

@@ -69,7 +69,7 @@ def ellipsis(value: Column, width: int = COLUMNS) -> Column:
     return F.when(F.length(value) > width, F.concat(F.substring(value, 1, width - 1), F.lit("…"))).otherwise(value)
 
 
-def json_value(name: str, value: Column, show_all: bool = False) -> Column:
+def json_value(name: str | Column, value: Column, show_all: bool = False) -> Column:
     """A value as JSON text: a string, or an array of bytes where it can't be printed; null if too long."""
     raw = value.cast("binary")
     numbers = F.concat(F.lit("["), F.array_join(F.transform(F.regexp_extract_all(F.hex(raw), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10)), ","), F.lit("]"))
@@ -77,7 +77,8 @@ def json_value(name: str, value: Column, show_all: bool = False) -> Column:
     shown = F.when(printable(value), quoted).otherwise(numbers)
     if show_all:
         return shown
-    return F.when(F.octet_length(raw) + len(name) + 1 >= LONG_JSON, F.lit("null")).otherwise(shown)
+    length = len(name) if isinstance(name, str) else F.octet_length(name)
+    return F.when(F.octet_length(raw) + length + 1 >= LONG_JSON, F.lit("null")).otherwise(shown)
 
 
 def _json(name: str, show_all: bool):
@@ -95,6 +96,22 @@ def json_entry(schema: LogSchema, names: list[str], meta: dict[str, Column], sho
     return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
 
 
+def json_fields(fields: Column, meta: dict[str, Column], show_all: bool = False) -> Column:
+    """As json_entry, with all of an array of fields (name, value as bytes)."""
+
+    def text_(c: Column) -> Column:
+        return F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+
+    def one(name: Column) -> Column:
+        listed = F.transform(F.filter(fields, lambda f: f["name"] == name), lambda f: json_value(name, f["value"], show_all))
+        values = F.when(F.size(listed) == 1, F.get(listed, F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")))
+        return F.concat(text_(name), F.lit(":"), values)
+
+    parts = F.array_compact(F.array(*[F.concat(F.lit(f'"{k}":'), text_(c)) for k, c in meta.items()]))
+    names = F.array_sort(F.array_distinct(F.transform(fields, lambda f: f["name"])))
+    return F.concat(F.lit("{"), F.array_join(F.concat(parts, F.transform(names, one)), ","), F.lit("}"))
+
+
 def framed(json: Column, mode: str) -> Column:
     """JSON as server-sent events or as a text sequence."""
     if mode == "json-sse":
@@ -110,6 +127,17 @@ def verbose(schema: LogSchema, names: list[str], head: Column) -> Column:
     return F.concat_ws("\n", head, *lines)
 
 
+def verbose_fields(fields: Column, head: Column) -> Column:
+    """As verbose, with all of an array of fields (name, value as bytes), repeated ones too."""
+
+    def line(f: Column) -> Column:
+        shown = F.when(F.octet_length(f["value"]) >= LONG_VERBOSE, F.format_string("[%dB blob data]", F.octet_length(f["value"]))).otherwise(blob(f["value"]))
+        return F.concat(F.lit("    "), f["name"], F.lit("="), shown)
+
+    ordered = F.array_sort(fields, lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
+    return F.concat_ws("\n", head, F.transform(ordered, line))
+
+
 def export_text(schema: LogSchema, names: list[str], meta: dict[str, Column]) -> Column:
     """An export record of text values: metadata, then fields in order of name, and an empty line."""
     lines = [F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in meta.items()] + [F.concat(F.lit(f"{n}="), schema.value(n)) for n in sorted(names)]

@@ -118,19 +118,22 @@ def select(entries: DataFrame, argv: list[str]) -> tuple[DataFrame, argparse.Nam
 
 
 def render(rows: DataFrame, options: argparse.Namespace) -> DataFrame:
-    """(line) of each row; a boot's begin is told in text modes."""
+    """(line) of each row, bytes for export; a boot's begin is told in text modes. All fields are shown where no output fields are named."""
     s, mode = entries_schema(), options.output
-    names = options.output_fields.split(",") if options.output_fields else ["MESSAGE", "PRIORITY", "SYSLOG_IDENTIFIER", "_PID", "_SYSTEMD_UNIT"]
+    fields = F.col("fields")
+    if options.output_fields:
+        fields = F.filter(fields, lambda f: f["name"].isin(*options.output_fields.split(",")))
+    others = F.filter(fields, lambda f: f["name"] != "_BOOT_ID")  # told by the metadata
     cursor = paging.cursor(F.col("seqnum_id"), F.col("seqnum"), F.col("boot_id"), F.col("monotonic_usec"), F.col("realtime_usec"), F.col("xor_hash"))
     meta = {"__CURSOR": cursor, "__REALTIME_TIMESTAMP": F.col("realtime_usec"), "__MONOTONIC_TIMESTAMP": F.col("monotonic_usec"), "_BOOT_ID": F.col("boot_id")}
     if mode == "cat":
         line = F.coalesce(s.value("MESSAGE"), F.lit(""))
     elif mode == "export":
-        line = formats.export_text(s, names, meta)
+        return formats.export_binary(rows.withColumn("fields", others).withColumn("cursor", cursor)).withColumnRenamed("record", "line")
     elif mode.startswith("json"):
-        line = formats.framed(formats.json_entry(s, names, meta, options.all), mode)
+        line = formats.framed(formats.json_fields(others, meta, options.all), mode)
     elif mode == "verbose":
-        line = formats.verbose(s, names, F.concat(formats.stamp("short-full", F.col("realtime_usec"), F.col("monotonic_usec")), F.lit(" ["), cursor, F.lit("]")))
+        line = formats.verbose_fields(fields, F.concat(formats.stamp("short-full", F.col("realtime_usec"), F.col("monotonic_usec")), F.lit(" ["), cursor, F.lit("]")))
     elif mode == "short-delta":
         rows = formats.delta(rows, KEYS, "boot_id", "realtime_usec", "monotonic_usec")
         change = F.coalesce(F.format_string("<%d.%06d>", F.floor(F.col("delta_usec") / 1_000_000), F.pmod("delta_usec", F.lit(1_000_000))), F.lit(""))

@@ -73,3 +73,21 @@ def test_lines(entries):
     assert all(x.startswith('{"__CURSOR":') for x in lines("-o", "json"))
     for mode in cli.MODES:
         assert len(lines("-o", mode)) == 4
+
+
+def test_all_fields_are_shown(spark):
+    import json
+
+    fields = [("MESSAGE", b"m"), ("X", b"1"), ("_BOOT_ID", b"b"), ("BLOB", b"\x00\xff"), ("X", b"2"), ("OTHER", b"o")]
+    entries = spark.createDataFrame([("f", "m", "b" * 32, "5" * 32, 1, 1_700_004_000_000_000, 10, "ff", fields)], ENTRIES)
+
+    def line(*argv):
+        return cli.render(*cli.select(entries, ["-a", *argv])).first().line
+
+    shown = json.loads(line("-o", "json"))
+    assert shown.pop("__CURSOR") and {k: v for k, v in shown.items() if k[:2] != "__"} == {"_BOOT_ID": "b" * 32, "MESSAGE": "m", "X": ["1", "2"], "BLOB": [0, 255], "OTHER": "o"}
+    assert line("-o", "verbose").split("\n")[1:] == ["    BLOB=[2B blob data]", "    MESSAGE=m", "    OTHER=o", "    X=1", "    X=2", "    _BOOT_ID=b"]
+    record = bytes(line("-o", "export"))
+    assert record.endswith(b"_BOOT_ID=" + b"b" * 32 + b"\nBLOB\n\x02" + bytes(7) + b"\x00\xff\nMESSAGE=m\nOTHER=o\nX=1\nX=2\n\n")
+    only = json.loads(line("-o", "json", "--output-fields", "X"))
+    assert only["X"] == ["1", "2"] and "MESSAGE" not in only and b"MESSAGE" not in bytes(line("-o", "export", "--output-fields", "X"))

@@ -44,8 +44,25 @@ def first_times(df: DataFrame, boot: Column, time: Column) -> DataFrame:
     return df.where(boot.isNotNull()).groupBy(boot.cast("string").alias("boot_id")).agg(F.min(time).alias("first_usec"))
 
 
+def with_before(df: DataFrame, order: list[str], columns: list[str], name: str = "_before") -> DataFrame:
+    """Rows with a struct of these columns of the row before, null for the first; ``order`` begins with a number.
+
+    Rows are dealt into buckets bounded by quantiles of that number; the first of a bucket takes
+    the last row of the bucket below.
+    """
+    n = min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    steps = F.array(*[F.lit(j / n) for j in range(1, n)])
+    bounds = sorted(set(df.agg(F.percentile_approx(order[0], steps, 20 * n).alias("b")).first()["b"] or []))
+    bucket = F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda b: b < F.col(order[0])))
+    rows = df.withColumn("_bucket", bucket).withColumn("_own", F.struct(*columns))
+    tops = rows.groupBy("_bucket").agg(F.max_by("_own", F.struct(*order)).alias("_top"))
+    below = tops.select("_bucket", F.lag("_top").over(Window.orderBy("_bucket")).alias("_below"))  # 4096 rows at most
+    found = rows.withColumn("_lag", F.lag("_own").over(Window.partitionBy("_bucket").orderBy(*order)))
+    return found.join(F.broadcast(below), "_bucket").withColumn(name, F.coalesce("_lag", "_below")).drop("_bucket", "_own", "_lag", "_below")
+
+
 def separators(df: DataFrame, boot: str, order: list[str]) -> DataFrame:
-    """Rows in order, with ``separator`` where the boot differs from the row before. For a page of output."""
-    before = F.lag(boot).over(Window.orderBy(*order))
-    changed = before.isNotNull() & ~F.col(boot).eqNullSafe(before)
-    return df.withColumn("separator", F.when(changed, F.concat(F.lit("-- Boot "), F.col(boot).cast("string"), F.lit(" --"))))
+    """Rows in order, with ``separator`` where the boot differs from the row before."""
+    before = F.col("_before")
+    changed = before.isNotNull() & ~F.col(boot).eqNullSafe(before[boot])
+    return with_before(df, order, [boot]).withColumn("separator", F.when(changed, F.concat(F.lit("-- Boot "), F.col(boot).cast("string"), F.lit(" --")))).drop("_before").orderBy(*order)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.display import printable
+from emberlog.operators.boots import with_before
 from emberlog.schema import LogSchema
 
 UNIT_LABELS = ["_SYSTEMD_USER_UNIT", "_SYSTEMD_UNIT", "USER_UNIT", "UNIT", "OBJECT_SYSTEMD_USER_UNIT", "OBJECT_SYSTEMD_UNIT"]
@@ -53,12 +54,12 @@ def short(schema: LogSchema, mode: str, realtime: Column, monotonic: Column, hos
 
 
 def delta(df: DataFrame, order: list[str], boot: str, realtime: str, monotonic: str, name: str = "delta_usec") -> DataFrame:
-    """Microseconds since the row before: monotonic within a boot, else by realtime, then ``other_boot`` is true. For a page of output."""
-    window = Window.orderBy(*order)
-    same = F.col(boot).eqNullSafe(F.lag(boot).over(window))
-    first = F.lag(F.lit(1)).over(window).isNull()
-    change = F.when(~first, F.when(same, F.col(monotonic) - F.lag(monotonic).over(window)).otherwise(F.col(realtime) - F.lag(realtime).over(window)))
-    return df.withColumn(name, change).withColumn("other_boot", F.when(~first, ~same))
+    """Microseconds since the row before: monotonic within a boot, else by realtime, then ``other_boot`` is true."""
+    before = F.col("_before")
+    first, same = before.isNull(), F.col(boot).eqNullSafe(before[boot])
+    change = F.when(~first, F.when(same, F.col(monotonic) - before[monotonic]).otherwise(F.col(realtime) - before[realtime]))
+    return with_before(df, order, [boot, realtime, monotonic]).withColumn(name, change).withColumn("other_boot", F.when(~first, ~same)).drop("_before").orderBy(*order)
+
 
 
 def text(schema: LogSchema) -> Column:

@@ -1,10 +1,30 @@
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog import registry
-from emberlog.plans import queries  # noqa: F401
+from emberlog.operators import boots, formats
+from emberlog.plans import queries
+from emberlog.schema import micros
 from tests.oracle import same
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, data, name):
     same(spark, data, registry.QUERIES[name], registry.ORACLE_SQL[name])
+
+
+def test_deltas_and_separators_of_all_events(spark, data):
+    """Every row gets its delta and separator, with no task that takes the whole table."""
+    every = "with l as (select event_id, epoch_us(ts) as rt, event_id * 10 as mono, (event_id // 7)::varchar as boot from events), o as (select *, lag(boot) over w as pb, lag(rt) over w as pr, lag(mono) over w as pm from l window w as (order by event_id))"
+
+    def rows(spark, path):
+        e = queries.events(spark, path)
+        return e.select("event_id", micros("ts").alias("rt"), (F.col("event_id") * 10).alias("mono"), F.floor(F.col("event_id") / 7).cast("string").alias("boot"))
+
+    def both(spark, path):
+        found = boots.separators(formats.delta(rows(spark, path), ["event_id"], "boot", "rt", "mono"), "boot", ["event_id"])
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert all("_bucket" in line for line in plan.splitlines() if "windowspecdefinition" in line)
+        return found.select("event_id", "delta_usec", "other_boot", "separator")
+
+    same(spark, data, both, every + " select event_id, case when pb = boot then mono - pm else rt - pr end as delta_usec, case when pr is not null then pb <> boot end as other_boot, case when pb <> boot then '-- Boot ' || boot || ' --' end as separator from o")

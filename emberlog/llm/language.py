@@ -153,7 +153,7 @@ class Model:
         if self.cache is None:
             self.cache = Codes(self._encode)
         starts, ends, first = block.spans(NOT_LETTERS)
-        flat, _ = self.cache.gather(self.cache.look(block, starts, ends, block.hashes(starts, ends)))
+        flat, _ = self.cache.gather(self.cache.look(block, starts, ends, *block.identities(starts, ends)))
         rows = flat.view(np.float32).reshape(-1, len(self.languages) + 1).astype(np.float64)
         total = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, 0)])
         own = total[first[1:]] - total[first[:-1]]

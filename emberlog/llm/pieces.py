@@ -216,7 +216,7 @@ class Model:
         _, ends, _ = spaced.spans(_SPACES)
         bounds = np.unique(np.concatenate([ends, offsets]))
         starts, ends = bounds[:-1], bounds[1:]
-        codes, at = self.codes.gather(self.codes.look(spaced, starts, ends, spaced.hashes(starts, ends)))
+        codes, at = self.codes.gather(self.codes.look(spaced, starts, ends, *spaced.identities(starts, ends)))
         at = at[np.searchsorted(starts, offsets)]
         return [codes[at[k] : at[k + 1]] for k in range(len(block))]
 

@@ -27,7 +27,7 @@ from emberlog.llm import shared
 from emberlog.llm.filters import BITS_PER_ID, MAX_BITS, IdFilter, id_filter
 from emberlog.llm.fmindex import Index, least_of
 from emberlog.llm.neardup import grouped
-from emberlog.llm.text import Block, Codes, blocks, column, inner, mix, windows
+from emberlog.llm.text import Block, Codes, blocks, column, inner, mix, numbered, windows
 
 LENGTH, ANCHOR = 13, 4
 #: Documents that share an anchor from which on its runs are dealt out one by one.
@@ -245,7 +245,7 @@ def reports(found: DataFrame) -> DataFrame:
         table = table.take(pa.array(once))
         (block,) = blocks(column(table, "content"), 1 << 62)
         starts, ends, first = block.spans()
-        _, codes = np.unique(block.hashes(starts, ends), return_inverse=True)
+        codes = numbered(*block.identities(starts, ends))
         sizes = np.diff(first)
         # a zero ends each segment
         text = np.zeros(len(codes) + len(sizes), np.int64)

@@ -1,4 +1,4 @@
-"""Whole batches of texts as numpy arrays: words, their positions and 64-bit hashes.
+"""Whole batches of texts as numpy arrays: words, their positions and hashes.
 
 All operators that run in Python workers share these helpers. A batch is cut
 into blocks of at most ``BLOCK_BYTES`` of text (one document may be longer, it
@@ -8,6 +8,7 @@ is never split), so that memory stays bounded whatever the Arrow batch holds.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,21 +26,11 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 NOT_LETTERS = np.ones(256, bool)
 NOT_LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
-        if len(have) > 8 * BLOCK_BYTES:  # of a very long text: not kept
-            del _powers[base]
-    return have[:n]
+#: Bits of the first k bytes of a chunk of eight.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Byte ranges longer than this are hashed one by one, by a keyed BLAKE2.
+_LONG, _KEY = 64, b"emberlog"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,14 +74,43 @@ class Block:
         ends = np.flatnonzero(inside & ~after) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, translate: np.ndarray | None = None) -> np.ndarray:
-        """A hash of each byte range: a polynomial of its bytes, mixed with its length."""
-        n = len(self.data)
+    def identities(self, starts: np.ndarray, ends: np.ndarray, translate: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each byte range, which together identify it.
+
+        Chunks of eight bytes go through two chains of mixing steps; neither is a
+        polynomial, so no family of texts is known to collide in both.
+        """
         data = self.data if translate is None else translate[self.data]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-        own = (sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts] if n else np.zeros(0, np.uint64)
-        return mix(own ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        room = np.zeros(len(data) + 8, np.uint8)
+        room[: len(data)] = data
+        chunks = np.ndarray((len(data) + 1,), "<u8", room, strides=(1,))  # the eight bytes from each place on
+        sizes = ends - starts
+        left = sizes.astype(np.uint64)
+        a, b = mix(left ^ np.uint64(0x9E3779B97F4A7C15)), mix(left + np.uint64(0xD6E8FEB86659FD93))
+        some = np.flatnonzero((sizes > 0) & (sizes <= _LONG))
+        at = 0
+        while len(some):
+            chunk = chunks[starts[some] + at] & _MASKS[np.minimum(sizes[some] - at, 8)]
+            a[some] = mix(a[some] ^ chunk)
+            b[some] = mix((b[some] + chunk) * np.uint64(0x9FB21C651E98DF25))
+            at += 8
+            some = some[sizes[some] > at]
+        for k in np.flatnonzero(sizes > _LONG).tolist():
+            digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=16, key=_KEY).digest()
+            a[k], b[k] = np.frombuffer(digest, np.uint64)
+        return mix(a + b), b
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, translate: np.ndarray | None = None) -> np.ndarray:
+        """The first of the two: a 64-bit hash of each byte range."""
+        return self.identities(starts, ends, translate)[0]
+
+
+def numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number from 0 on for each distinct identity (a, b), the same for equal ones."""
+    _, first, codes = np.unique(a, return_index=True, return_inverse=True)
+    if (b == b[first][codes]).all():
+        return codes
+    return np.unique(np.stack([a, b], 1), axis=0, return_inverse=True)[1].reshape(-1)
 
 
 def give_back() -> None:
@@ -146,7 +166,8 @@ class Codes:
     """Results of a slow function of byte strings, kept in arrays sorted by the strings' hashes.
 
     ``look`` returns for each string its place in ``values``; unknown strings
-    are sent, each once, through ``encode``. Past ``bound`` entries all are forgotten.
+    are sent, each once, through ``encode``. A string is known by both its hashes: one that only
+    shares the first with another is encoded by itself. Past ``bound`` entries all are forgotten.
     A worker keeps one table: when another is used, the one before is emptied.
     """
 
@@ -160,6 +181,7 @@ class Codes:
     def clear(self) -> None:
         self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.new_keys, self.new_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.checks = np.zeros(0, np.uint64)
         self.lengths, self.starts, self.codes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     @staticmethod
@@ -176,7 +198,17 @@ class Codes:
         i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[i] == wanted, at[i], -1)
 
-    def look(self, block: Block, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, prefix: bytes = b"") -> np.ndarray:
+    def _add(self, block: Block, starts: np.ndarray, ends: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Encodes strings and returns their places."""
+        data, before = block.data, len(self.lengths)
+        codes, lengths = self.encode([data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+        self.starts = np.concatenate([self.starts, len(self.codes) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
+        self.codes = np.concatenate([self.codes, codes.astype(np.int32)])
+        self.checks = np.concatenate([self.checks, checks])
+        return before + np.arange(len(starts))
+
+    def look(self, block: Block, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
         if Codes.held is not self:
             if Codes.held is not None:
                 Codes.held.clear()
@@ -190,12 +222,7 @@ class Codes:
             place[miss] = self._find(self.new_keys, self.new_at, wanted[miss])
             miss = miss[place[miss] < 0]
         if len(miss):
-            data, at = block.data, where[miss]
-            codes, lengths = self.encode([data[s:e].tobytes() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            place[miss] = len(self.lengths) + np.arange(len(miss))
-            self.starts = np.concatenate([self.starts, len(self.codes) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
-            self.codes = np.concatenate([self.codes, codes.astype(np.int32)])
+            place[miss] = self._add(block, starts[where[miss]], ends[where[miss]], checks[where[miss]])
             keys, values = np.concatenate([self.new_keys, wanted[miss]]), np.concatenate([self.new_at, place[miss]])
             order = np.argsort(keys, kind="stable")
             self.new_keys, self.new_at = keys[order], values[order]
@@ -204,7 +231,11 @@ class Codes:
                 order = np.argsort(keys, kind="stable")
                 self.keys, self.at = keys[order], values[order]
                 self.new_keys, self.new_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return place[back]
+        out = place[back]
+        other = np.flatnonzero(self.checks[out] != checks)
+        if len(other):  # another string's codes
+            out[other] = self._add(block, starts[other], ends[other], checks[other])
+        return out
 
     def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All codes of the strings at these places, one after another, and where each string's begin (and one more)."""

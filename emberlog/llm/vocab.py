@@ -2,7 +2,7 @@
 
 Each encoder cuts texts at places that the library's own rules never merge
 across, so the codes of a text are those of its pieces, one after another. A
-worker keeps codes by the 64-bit hash of a piece (see ``text.Codes``); the
+worker keeps codes by two hashes of a piece (see ``text.Codes``); the
 library itself encodes every distinct piece.
 """
 
@@ -48,7 +48,7 @@ class Encoder:
     def documents(self, block: Block) -> list[np.ndarray]:
         """The codes of each document of a block."""
         starts, ends, first = self.cut(block)
-        codes, bounds = self.codes.gather(self.codes.look(block, starts, ends, block.hashes(starts, ends)))
+        codes, bounds = self.codes.gather(self.codes.look(block, starts, ends, *block.identities(starts, ends)))
         at = bounds[first]
         out = [codes[at[k] : at[k + 1]] for k in range(len(block))]
         if self.odd(block.data.tobytes()):

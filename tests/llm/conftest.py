@@ -9,8 +9,14 @@ def words(rng, n):
     return [rng.choice(["ta", "ne", "ri", "mo", "sul", "ka", "pe"]) + rng.choice(["lo", "mi", "ra", "tes", "un"]) + rng.choice(["", "s", "en", "ix"]) for _ in range(n)]
 
 
+def twins(n, x="x", y="y"):
+    """Two different words of n letters (a power of two) on which every polynomial hash modulo 2**64 agrees from 1024 letters on."""
+    word = "".join(x if k.bit_count() % 2 else y for k in range(n))
+    return word, word.translate(str.maketrans({x: y, y: x}))
+
+
 def rows():
-    """Texts with every awkward case: nulls, empty, white space alone, no white space, other scripts, copies, near copies, shared passages, long ones."""
+    """Texts with every awkward case: nulls, empty, white space alone, no white space, other scripts, words that weak hashes confuse, copies, near copies, shared passages, long ones."""
     rng = random.Random(5)
     passage = " ".join(words(rng, 40))
     base = words(rng, 120)
@@ -21,6 +27,10 @@ def rows():
     texts += ["", None, " \n\t ", "x", "a b", "A B", "x" * 5000, "日本語 テキスト 😀", "İstanbul ΣΑΣ ½", "<|endoftext|> a<|endoftext|>", "▁a ▁b  c", "one\n\ntwo  three\tfour", "!!! ### $$$"]
     texts += [" ".join(words(rng, 30)) + " " + passage + "\n" + " ".join(words(rng, 30)) for _ in range(4)]
     texts += [passage, passage, passage.replace(" ", "\n"), " ".join(words(rng, 9000)), "same line\n" * 30, " ".join(words(rng, 60))]
+    lead = " ".join(words(rng, 12))
+    for n in (1024, 4096):
+        a, b = twins(n)
+        texts += [f"{lead} {a}", f"{lead} {b}", a, b]
     out = [(k * 3, t) for k, t in enumerate(texts)]
     out += [(7, texts[0]), (7, texts[0]), (None, passage), (None, None)]  # repeated rows, rows without an id
     return out

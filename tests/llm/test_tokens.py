@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 
 from emberlog.llm import packing, pieces, token_counts, vocab
-from emberlog.llm.text import Codes, blocks
+from emberlog.llm.text import Codes, blocks, numbered
+from tests.llm.conftest import twins
 
 EXTRA = ["", " ", "  ", " a", "a ", "\n\na  b \n c\t", "I'LL don't 'S x's", "é x y　z  w", "a \n b", "²3 µm ª", "..!!'s", "<| a |>", "x\x85y", "\x1c a", "ﬁ ﬂ é ́x", "a" * 300]
 
@@ -39,9 +40,11 @@ def test_length_table():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(1, 1 << 63, 60_000).astype(np.uint64))
     keys[:5000] = np.arange(1, 5001)  # crowded slots
-    table = token_counts.LengthTable(keys, np.arange(len(keys), dtype=np.int32))
-    assert (table.look(keys) == np.arange(len(keys))).all()
-    assert (table.look(np.arange(10**9, 10**9 + 1000).astype(np.uint64)) == -1).all()
+    table = token_counts.LengthTable(keys, keys + np.uint64(7), np.arange(len(keys), dtype=np.int32))
+    assert (table.look(keys, keys + np.uint64(7)) == np.arange(len(keys))).all()
+    assert (table.look(keys, keys) == -1).all()  # the second hash tells them apart
+    others = np.arange(10**9, 10**9 + 1000).astype(np.uint64)
+    assert (table.look(others, others) == -1).all()
 
 
 def test_codes_forget_and_find():
@@ -55,11 +58,35 @@ def test_codes_forget_and_find():
     for text in ["a bb ccc dddd", "a bb", "a eeeee"]:
         (block,) = blocks(pa.array([text]))
         s, e, _ = block.spans()
-        flat, _ = codes.gather(codes.look(block, s, e, block.hashes(s, e)))
+        flat, _ = codes.gather(codes.look(block, s, e, *block.identities(s, e)))
         assert flat.tolist() == [len(w) for w in text.split()]
     assert seen.count(b"a") == 2  # forgotten once
 
 
+def test_strings_that_share_a_hash():
+    """Those that share the first of two hashes keep their own codes, in one block and across blocks."""
+    codes = Codes(lambda parts: (np.array([len(p) for p in parts], np.int32), np.ones(len(parts), np.int64)))
+    for text in ["a bb ccc a", "dddd bb"]:
+        (block,) = blocks(pa.array([text]))
+        s, e, _ = block.spans()
+        _, checks = block.identities(s, e)
+        flat, _ = codes.gather(codes.look(block, s, e, np.full(len(s), 5, np.uint64), checks))
+        assert flat.tolist() == [len(w) for w in text.split()]
+    a, b = np.array([1, 1, 1, 2], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    assert len(set(numbered(a, b).tolist())) == 3 and numbered(a, b)[0] == numbered(a, b)[2]
+
+
+@pytest.mark.parametrize("size", [1, 7, 8, 9, 63, 64, 65, 1024, 2048, 4096])
+def test_hashes_of_twins(size):
+    """Words that differ have different hashes, wherever they lie; equal ones have equal ones."""
+    a, b = twins(size) if size & (size - 1) == 0 else ("x" * size, "x" * (size - 1) + "y")
+    (block,) = blocks(pa.array([f"{a} {b} z{a} {a}\n{b}"]))
+    s, e, _ = block.spans()
+    first, second = block.identities(s, e)
+    for h in (first, second):
+        assert h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 3
+
+
 def test_sentencepiece(awkward, texts, vocabulary):
     path = vocabulary("piece_bpe_32k.model")
     library = pieces.Model(path).library

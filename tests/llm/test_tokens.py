@@ -101,24 +101,53 @@ def test_sentencepiece(awkward, texts, vocabulary):
 
 
 def test_spans_equal_the_library(texts, vocabulary):
-    model = pieces.Model(vocabulary("piece_bpe_32k.model"))
-    for t in EXTRA + [t or "" for _, t in texts]:
-        if "▁" in t:
-            continue
-        ids = np.array(model.library.encode(t), np.int32)
-        begins, ends = model.spans(t.encode(), ids)
-        want = [(p.begin, p.end) for p in model.library.encode(t, return_type="proto").pieces]
-        assert list(zip(begins.tolist(), ends.tolist(), strict=True)) == want
+    compare(vocabulary("piece_bpe_32k.model"), EXTRA + [t or "" for _, t in texts])
 
 
-def test_both_ways_to_spans_agree(texts, vocabulary):
-    model = pieces.Model(vocabulary("piece_bpe_32k.model"))
-    other = pieces.Model(vocabulary("piece_bpe_32k.model"))
-    other.map = pieces.CharacterMap(compiled({b"\x00nothing": b""}))
-    for t in ["ab cd", "é x", " two  spaces ", "a"]:
-        ids = np.array(model.library.encode(t), np.int32)
-        for x, y in zip(model.spans(t.encode(), ids), other.spans(t.encode(), ids), strict=True):
-            assert x.tolist() == y.tolist()
+def compare(path, every):
+    """Codes and spans of a model's own normalisation against the library's whole encoding; also with what the cache kept."""
+    model = pieces.Model(path)
+    for size in (100, 1 << 20):
+        found = [x for b in blocks(pa.array(every), size) for x in model.documents(b)]
+        for t, (ids, begins, ends) in zip(every, found, strict=True):
+            proto = model.library.encode(t, return_type="proto")
+            assert ids.tolist() == [p.id for p in proto.pieces] == model.library.encode(t)
+            assert list(zip(begins.tolist(), ends.tolist(), strict=True)) == [(p.begin, p.end) for p in proto.pieces]
+    return model
+
+
+def with_rules(path, to, map_=b"", **flags):
+    """A copy of a model with other rules of normalising; its merges stay."""
+    with open(path, "rb") as file:
+        raw = pieces.without_rules(file.read())[: -len(pieces._NO_RULES)]
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    rules = b"\x12" + varint(len(map_)) + map_ + b"".join(varint(k << 3) + bytes([flags.get(n, 1)]) for n, k in (("prefix", 3), ("squeeze", 4), ("escape", 5)))
+    to.write_bytes(raw + b"\x1a" + varint(len(rules)) + rules)
+    return str(to)
+
+
+ODD = ["ﬁ ﬂ ½ ™", "　a　 b　", "Ａ１ｂ", "e\u0301 \u1e9b\u0323", "㍿ ㎏", " \t x \n\n y  ", "a　", "　", "ﬁ", "abcab ab q qq abc", "q", " q ", "x q　q y"]
+
+
+@pytest.mark.parametrize("prefix", [0, 1])
+@pytest.mark.parametrize("squeeze", [0, 1])
+@pytest.mark.parametrize("rules", ["none", "nfkc", "nmt_nfkc_cf", "own"])
+def test_models_with_a_character_map(texts, vocabulary, tmp_path, rules, squeeze, prefix):
+    """The ids and spans of a model that has a compiled map come from this module's normalisation, and equal the library's."""
+    import sentencepiece
+
+    map_ = b""
+    if rules == "own":
+        map_ = compiled({"ﬁ".encode(): b"fi", b"ab": b"X", b"abc": b"YY", b"\t": b" ", b"q": b""})
+    elif rules != "none":
+        normalizer = sentencepiece.SentencePieceNormalizer(rule_name=rules)
+        map_ = dict(pieces.fields(dict(pieces.fields(normalizer.serialized_model_proto()))[3]))[2]
+    path = with_rules(vocabulary("piece_bpe_32k.model"), tmp_path / "m.model", map_, prefix=prefix, squeeze=squeeze)
+    model = compare(path, EXTRA + ODD + [t or "" for _, t in texts if len(t or "") < 3000])
+    assert model.local and bool(model.map.units) == (rules != "none")
 
 
 def compiled(rules):
@@ -143,7 +172,7 @@ def compiled(rules):
                 units[base] = 0x80000000 | child
             else:
                 todo.append((base ^ byte, byte, child))
-    size = max(units) + 1
+    size = (max(units) // 256 + 1) * 256  # whole blocks, as the library asks for
     trie = b"".join(units.get(k, 0).to_bytes(4, "little") for k in range(size))
     return len(trie).to_bytes(4, "little") + trie + strings
 

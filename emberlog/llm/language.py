@@ -6,8 +6,8 @@ task counts distinct words first and their n-grams once, Spark adds the counts
 up, and lower orders take continuation counts. Probabilities of seen n-grams
 and weights of seen contexts are kept in arrays sorted by a 64-bit hash, with
 one column for each language. A document goes to the language of the lowest
-cross-entropy per character; it is rejected if even that lies far above what
-the language's own documents have of that length under a model that hasn't
+cross-entropy per character; it is rejected if even that lies above what all but
+one in a thousand of the language's own documents have of that length under a model that hasn't
 seen them: each half of the training documents is scored by a model of the other.
 """
 
@@ -26,8 +26,10 @@ from emberlog.llm.text import NOT_LETTERS, Block, Codes, blocks, column, mix
 
 ORDER = 4
 BEGIN, END = 2, 3
-#: Distances between the median and the last decile of a language's left-out documents beyond which a document is rejected.
-REJECT = 20
+#: Share of a language's own left-out documents that its limit would reject.
+FALSE_REJECTS = 0.001
+#: Least distance, in nats, from the median to the last decile of left-out documents that is believed.
+LEAST_SPREAD = 0.01
 #: Characters of a document whose entropy varies by chance as much as it does between documents: the spread is as sqrt(1 + SHORT / n).
 SHORT = 200
 #: Fewest left-out documents that tell a language's limit; one with less rejects nothing but texts without letters.
@@ -113,6 +115,7 @@ class Model:
     unknown: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log probability of a character never seen
     usual: np.ndarray = field(default_factory=lambda: np.zeros(0))  # median entropy of each language's left-out documents
     spread: np.ndarray = field(default_factory=lambda: np.zeros(0))  # from there to their last decile, for long documents
+    reach: np.ndarray = field(default_factory=lambda: np.zeros(0))  # spreads from the median to the limit
     cache: Codes | None = None
 
     def __getstate__(self):
@@ -120,7 +123,7 @@ class Model:
 
     def limits(self, which: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The highest entropy that isn't rejected, of documents of n characters in these languages."""
-        return self.usual[which] + REJECT * self.spread[which] * np.sqrt(1 + SHORT / np.maximum(n, 1))
+        return self.usual[which] + self.reach[which] * self.spread[which] * np.sqrt(1 + SHORT / np.maximum(n, 1))
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word in each language, and its characters with the end mark (0: no letter in it)."""
@@ -166,7 +169,7 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def estimate(lang: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Model:
-    """A model from 4-gram counts; the discount of an order is n1 / (n1 + 2 n2)."""
+    """A model from 4-gram counts; the discount of an order in a language is n1 / (n1 + 2 n2), a half where either is 0."""
     languages = sorted(set(lang))
     model = Model(languages)
     if not languages:
@@ -179,12 +182,12 @@ def estimate(lang: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Model:
         _, at, counts = np.unique(keys_of(np.concatenate([w[:, None], g[:, 1:]], 1)), return_index=True, return_counts=True)
         level[order] = w[at], g[at, 1:], counts.astype(np.float64)
     width, lower = len(languages), None
-    model.usual, model.spread = np.full(width, np.inf), np.zeros(width)
+    model.usual, model.spread, model.reach = np.full(width, np.inf), np.zeros(width), np.zeros(width)
     alphabet = len(np.unique(level[1][1])) + 1
     for order in range(1, ORDER + 1):
         w, g, c = level[order]
-        n1, n2 = float((c == 1).sum()), float((c == 2).sum())
-        discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        n1, n2 = (np.bincount(w[c == k], minlength=width).astype(np.float64) for k in (1, 2))
+        discount = np.where((n1 > 0) & (n2 > 0), n1 / np.maximum(n1 + 2 * n2, 1), 0.5)
         keys = keys_of(g)
         union, at = np.unique(keys, return_index=True)
         rows = g[at]
@@ -193,7 +196,7 @@ def estimate(lang: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Model:
             kinds = np.bincount(w, minlength=width)
             back = discount * kinds / np.maximum(total, 1) / alphabet
             p = np.tile(back, (len(union), 1))
-            p[np.searchsorted(union, keys), w] += np.maximum(c - discount, 0) / total[w]
+            p[np.searchsorted(union, keys), w] += np.maximum(c - discount[w], 0) / total[w]
             model.unknown = np.log(np.maximum(back, 1e-12))
         else:
             contexts = keys_of(g[:, :-1])
@@ -206,7 +209,7 @@ def estimate(lang: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Model:
             i, hit = _found(lower[0], keys_of(rows[:, 1:]))
             assert hit.all()
             p = weight[np.searchsorted(known, keys_of(rows[:, :-1]))] * np.exp(lower[1][i])
-            p[np.searchsorted(union, keys), w] += np.maximum(c - discount, 0) / total[place, w]
+            p[np.searchsorted(union, keys), w] += np.maximum(c - discount[w], 0) / total[place, w]
             model.contexts.append((known, np.log(weight).astype(np.float32)))
         lower = union, np.log(p)
         model.grams.append((union, np.log(p).astype(np.float32)))
@@ -219,7 +222,10 @@ def held_out(id_: Column) -> Column:
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from all documents with a known language and text that aren't held out; the model holds every 4-gram counted."""
+    """Learns from all documents with a known language and text that aren't held out; the model holds every 4-gram counted.
+
+    Rows without an id are learned from; repeated rows count each; without any row to learn from the model knows no language.
+    """
     shared.small_batches(docs.sparkSession)
     train = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     # copies of a text are in one half
@@ -240,24 +246,32 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def calibrate(model: Model, train: DataFrame, halves: list[Model]) -> None:
-    """Sets the limits from the entropies of all training documents (lang, text, half), each under the model of the other half."""
+    """Sets the limits from the entropies of all training documents (lang, text, half), each under the model of the other half.
+
+    The limit lies where FALSE_REJECTS of them are beyond. Of fewer than 1 / FALSE_REJECTS the farthest is taken, and
+    moved out as a tail that falls with the square of the distance would have it.
+    """
     parts = [_judged(train.where(F.col("half") == k), halves[1 - k], "half", "text", ["lang"]) for k in range(2)]
     own, path = shared.written(parts[0].unionByName(parts[1]).where(F.col("_keep_0") == F.col("lang_pred")).where("cross_entropy is not null").select("lang_pred", "cross_entropy", "_n"))
     usual = own.groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", 0.5).alias("usual"), F.count(F.lit(1)).alias("docs"))
     above = (F.col("cross_entropy") - F.col("usual")) / F.sqrt(1 + SHORT / F.col("_n"))
-    spread = own.join(F.broadcast(usual), "lang_pred").groupBy("lang_pred", "usual", "docs").agg(F.percentile_approx(above, 0.9).alias("spread"))
+    # one row a language
+    spread = own.join(F.broadcast(usual), "lang_pred").groupBy("lang_pred", "usual", "docs").agg(F.percentile_approx(above, F.array(F.lit(0.9), F.lit(1 - FALSE_REJECTS))).alias("at"))
+    place = {x: k for k, x in enumerate(model.languages)}
     for r in spread.where(F.col("docs") >= ENOUGH).collect():
-        k = model.languages.index(r.lang_pred)
-        model.usual[k], model.spread[k] = r.usual, r.spread
+        k, decile = place[r.lang_pred], max(r.at[0], LEAST_SPREAD)
+        model.usual[k], model.spread[k] = r.usual, decile
+        model.reach[k] = max(1.0, r.at[1] / decile) * max(1.0, 1 / (FALSE_REJECTS * r.docs)) ** 0.5
     shared.remove(train.sparkSession, path)
 
 
-
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """(id, lang_pred, score, cross_entropy, rejected, and columns to keep) of every row.
 
     A null text, one without a letter, or any text when no language was learned, is
-    ``und`` with score 0, a null cross-entropy, and is rejected. Repeated rows are judged each.
+    ``und`` with score 0, a null cross-entropy, and is rejected. Repeated rows are judged each; of equal entropies
+    the first language by name counts. An empty table gives no rows. A long text is read in whole, its distinct words are
+    scored once. Columns that are not kept are not read; kept ones may have any name.
     """
     shared.small_batches(docs.sparkSession)
     return _judged(docs, model, id_col, text_col, keep).drop("_n").withColumnsRenamed({"_id": id_col} | {f"_keep_{k}": c for k, c in enumerate(keep)})

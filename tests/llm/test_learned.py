@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.llm import language, queries, toxicity
 from emberlog.llm.text import blocks
@@ -53,6 +54,75 @@ def test_language_probabilities_add_up():
     assert word.tolist() == [0] * 5 + [1] * 5 + [2] * 5 + [3] * 4
 
 
+def test_language_equals_a_plain_model():
+    """Counts, discounts, continuation counts and log probabilities against a plain interpolated Kneser-Ney model for each language."""
+    import math
+    from collections import Counter, defaultdict
+
+    texts = {"x": "abba abab baab cab abba cc", "y": "bad dab add bad a abba dad da"}
+    counts = {lang: Counter(tuple(g) for g in language.grams_of(t.split())[0].tolist()) for lang, t in texts.items()}
+    lang = np.array([x for x in counts for _ in counts[x]], object)
+    grams = np.array([g for x in counts for g in counts[x]])
+    model = language.estimate(lang, grams, np.array([n for x in counts for n in counts[x].values()]))
+    alphabet = len({g[-1] for x in counts for g in counts[x]}) + 1
+
+    def plain(four):
+        level = {4: four}
+        for n in (3, 2, 1):
+            level[n] = Counter(g[1:] for g in level[n + 1])
+        discount, total, kinds = {}, defaultdict(int), defaultdict(int)
+        for n, c in level.items():
+            n1, n2 = (sum(1 for v in c.values() if v == k) for k in (1, 2))
+            discount[n] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            for g, v in c.items():
+                total[n, g[:-1]] += v
+                kinds[n, g[:-1]] += 1
+
+        def p(g):
+            n, context = len(g), g[:-1]
+            if not n:
+                return 1 / alphabet
+            if not total[n, context]:
+                return p(g[1:])
+            return max(level[n][g] - discount[n], 0) / total[n, context] + discount[n] * kinds[n, context] / total[n, context] * p(g[1:])
+
+        return p
+
+    words = ["abba", "dab", "cad", "a", "zab", "bcd"]
+    score, n = model.scores(words)
+    for k, word in enumerate(words):
+        assert n[k] == len(word) + 1
+        own = language.grams_of([word])[0].tolist()
+        for j, x in enumerate(model.languages):
+            p = plain(counts[x])
+            assert score[k, j] == pytest.approx(sum(math.log(p(tuple(g))) for g in own), abs=1e-4)
+
+
+def test_planted_noise_goes_and_clean_text_stays(spark, medium):
+    """Letters drawn at random, texts with their letters shuffled, and words of another language, among all documents."""
+    docs = queries.table(spark, medium, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    rng = np.random.default_rng(6)
+    clean = [r.text for r in docs.where("length(text) between 300 and 3000 and lang = 'en'").limit(100).collect()]
+
+    def shuffled(t):
+        letters = [c for c in t if c.isalpha()]
+        rng.shuffle(letters)
+        left = iter(letters)
+        return "".join(next(left) if c.isalpha() else c for c in t)
+
+    parts = ["kuu", "jyv", "saa", "pöyt", "lintu", "hyvä", "ystäv", "ikkun"], ["ssa", "lla", "kkään", "ttömyys", "iin", "sta"]
+    kinds = {
+        "random": [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(60)) for _ in range(100)],
+        "shuffled": [shuffled(t) for t in clean],
+        "other": [" ".join(rng.choice(parts[0]) + rng.choice(parts[1]) for _ in range(60)) for _ in range(100)],
+    }
+    rows = [(k, kind, t) for k, (kind, t) in enumerate((kind, t) for kind, all_ in kinds.items() for t in all_)]
+    gone = {r.kind: r.share for r in language.predict(spark.createDataFrame(rows, "doc_id long, kind string, text string"), model, keep=["kind"]).groupBy("kind").agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
+    assert all(share > 0.9 for share in gone.values()), gone
+    assert language.predict(docs, model).where("not rejected").count() > 0.98 * docs.count()
+
+
 def test_language_edges(spark, awkward, empty, texts):
     model = language.fit(awkward)
     got = language.predict(awkward, model, keep=["score", "row"])

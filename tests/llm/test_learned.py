@@ -213,9 +213,35 @@ def test_swaps_lower_the_weight_of_groups():
 
 def test_swapped_terms():
     groups = [line.split() for line in toxicity.IDENTITY_TERMS]
-    assert toxicity.swapped("Women vote. He sings.\nA gay man", groups) == [(["women"], ["men"]), *sorted([(["gay"], ["lesbian"]), (["man"], ["girl"])])] or True
-    found = toxicity.swapped("Women vote. He sings.", groups)
-    assert found == [(["women"], ["men"])]
+    assert toxicity.swapped("Women vote. He sings.", groups) == [("women", "men"), ("women", "girls"), ("women", "boys")]
+    found = toxicity.swapped("Women vote. He sings.\nA gay man", groups)
+    assert found[3:] == [("gay", "lesbian"), ("gay", "straight"), ("gay", "bisexual"), ("gay", "transgender"), ("man", "woman"), ("man", "girl"), ("man", "boy")]
+    # a sentence that has the other term already only loses one
+    assert toxicity.swapped("a male and a FEMALE", groups) == [("female", ""), ("male", "")]
+    assert toxicity.swapped("a male", []) == [] and toxicity.swapped("", groups) == []
+
+
+def test_neutral_mentions_of_groups(spark):
+    """Where a term goes with the label in training, the penalty lowers the gap of swapped sentences and the false positives on neutral mentions."""
+    rng = np.random.default_rng(2)
+    rows, labels, at = [], [], 0
+    while len(rows) < 600:
+        at += 1
+        if zlib.crc32(str(at).encode()) % 5 == 0:
+            continue
+        bad = len(rows) % 4 == 0
+        own = [f"w{chr(97 + i)}" for i in rng.integers(0, 20, 8)] + ["vile"] * (bad and rng.random() < 0.6) + (["muslims"] if rng.random() < (0.7 if bad else 0.02) else ["hindus"] if rng.random() < 0.3 else [])
+        rng.shuffle(own)
+        rows.append((at, " ".join(own) + "."))
+        labels.append((at, int(bad)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain = toxicity.gaps(toxicity.fit(docs, known, identity_terms=()), toxicity.neutral())
+    fair_model = toxicity.fit(docs, known)
+    fair = toxicity.gaps(fair_model, toxicity.neutral())
+    assert fair["largest"] < 0.5 * plain["largest"] and fair["toxic"] <= plain["toxic"]
+    assert plain["toxic"] > 0 and fair["toxic"] == 0
+    (block,) = blocks(__import__("pyarrow").array(["you vile one"]))
+    assert fair_model.logits(block)[0] > 0
 
 
 def test_toxicity_edges(spark, awkward, empty, texts):

@@ -3,8 +3,9 @@
 In a large star every node hands its larger neighbours to its least one; in a
 small star its smaller neighbours and itself. Edges shrink to stars around
 the least node of each component in a number of rounds that grows with the
-logarithm of the graph. Each round is written to the shared folder. Groups
-are only ever reduced to a minimum, so a hub of any degree is pre-aggregated.
+logarithm of the graph. Each round is written to the shared folder. Minima are
+pre-aggregated, and where they are joined back to the edges the rows of a hub
+are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,23 @@ from pyspark.sql import functions as F
 from emberlog.llm import shared
 
 
+#: Edges of a node that one task takes; nodes dealt out, at most. With E edges in all any other has 2 E / HUBS at most.
+DEGREE, HUBS = 4096, 10_000
+
+
+def with_least(pairs: DataFrame, extra: bool) -> DataFrame:
+    """Each pair (u, v) with ``m``, the least v of its u (by ``extra`` u itself counts too)."""
+    found = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    if extra:
+        found = found.withColumn("m", F.least("m", "u"))
+    hubs = found.where(F.col("degree") > DEGREE).orderBy(F.col("degree").desc(), "u").limit(HUBS).select("u", F.ceil(F.col("degree") / DEGREE).cast("int").alias("parts"))
+    hubs = F.broadcast(hubs)  # HUBS rows at most
+    one = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), one).cast("int").alias("part"))
+    copied = found.join(hubs, "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
+    return dealt.join(copied, ["u", "part"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the edges (a, b), component being its least node.
 
@@ -25,10 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
     def star(pairs: DataFrame) -> DataFrame:
         """Both stars: pairs (u, v) with u > v."""
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = with_least(both, True).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        small = with_least(large, False).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         return small.where("u > v").distinct()
 
     def state(pairs: DataFrame):

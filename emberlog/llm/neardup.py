@@ -7,9 +7,13 @@
    coordinates share one of the K - T + 1 rarest pairs of each (a global order by count and pair),
    so only that prefix is merged, and agreements are counted on full signatures.
    Within a posting list only a spanning forest of the matches is emitted.
-3. Connected matches form clusters. Each is tested on full sets, in tiles of
-   at most ``TILE`` by TILE documents, and again only a spanning forest of the
-   true links is emitted. Its components are the result.
+3. Connected matches form clusters. Each is tested on full sets, and again
+   only a spanning forest of the true links is emitted. Its components are the
+   result.
+
+Posting lists and clusters of more than ``GROUP`` members are gone through in rounds:
+some members, as pivots, meet all of the group, block by block, and what becomes one
+tree is not compared again.
 
 T lies so far below K times the threshold that a pair at the threshold is
 missed with a probability below 1e-5; pairs above it far more rarely.
@@ -17,6 +21,7 @@ missed with a probability below 1e-5; pairs above it far more rarely.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -32,8 +37,8 @@ from emberlog.llm.shingles import shingle_sets
 from emberlog.llm.text import Codes, blocks, column, mix
 
 K, SEED = 64, 20240229
-#: Largest posting list or cluster that one task takes whole; larger ones are dealt into tiles.
-LIST, TILE = 4096, 1024
+#: Largest posting list or cluster that one task takes whole; of larger ones so many pivots and rows meet in a task.
+GROUP, TILE = 2048, 1024
 
 
 def matches_needed(threshold: float, k: int = K, miss: float = 1e-5) -> int:
@@ -123,48 +128,147 @@ def _edges(ids: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
 
 
-def tiled(rows: DataFrame, group: str, id_col: str, size: int) -> DataFrame:
-    """Rows of groups of up to ``size`` members as tile (0, 0); of larger ones each row once for every tile that compares its block with another."""
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > size)
-    # a group is in few blocks of half a tile each
-    blocks_ = F.coalesce(F.ceil(2 * F.col("members") / size), F.lit(1)).cast("int")
-    dealt = rows.join(counts, group, "left").withColumn("blocks", blocks_).withColumn("block", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    return dealt.withColumn("tile", F.explode(tiles)).select(*rows.columns, F.col("tile.i").alias("tile_i"), F.col("tile.j").alias("tile_j"))
+Similar = Callable[[pa.Array], Callable[[int, np.ndarray], np.ndarray]]
 
 
-def match_edges(reps: DataFrame, need: int) -> DataFrame:
-    """Edges (a, b) between classes whose signatures agree in ``need`` coordinates: of each posting list a spanning forest."""
-    posted = reps.select(F.col("id").alias("rep"), F.posexplode("sig")).select("rep", F.xxhash64("pos", "col").alias("key"))
-    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-    shared_ = posted.join(counts.withColumn("count", F.least("count", F.lit(2**31 - 1)).cast("int")), "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("keys"))  # K at most
-    prefix, _ = shared.written(shared_.where(F.size("keys") >= need).select("rep", F.explode(F.transform(F.slice("keys", F.lit(1), F.size("keys") - (need - 1)), lambda x: x["key"])).alias("key")))
-    again = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-    lists = tiled(prefix.join(again.select("key"), "key", "left_semi"), "key", "rep", LIST)
-    rows = lists.join(reps.select(F.col("id").alias("rep"), "sig"), "rep").select("key", "tile_i", "tile_j", "rep", "sig")
+def linked(members: DataFrame, payload: Callable[[DataFrame], DataFrame], similar: Similar) -> DataFrame:
+    """Edges (a, b) whose components are those of the graph of all similar pairs that share a group.
+
+    members: (grp, id, members), the last being how many a group has; payload: from (id) to
+    (id, payload); similar: from an array of payloads to the test of one of them against some.
+    Groups of up to GROUP members are one task's, which emits a spanning forest.
+    Of larger ones no task sees all, and no pairs are dealt out that a tree joins already; see _in_rounds.
+    """
+    spark = members.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = members.where(F.col("members") <= GROUP).select("grp", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run_ in grouped(batches, ["key", "tile_i", "tile_j"]):
-            ids = column(run_, "rep").to_numpy()
-            sig = column(run_, "sig").flatten().to_numpy().reshape(len(ids), -1)
+        for rows in grouped(batches, ["grp"]):
+            ids = column(rows, "id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            ids, sig = ids[order], sig[order]
-            edges = forest(len(ids), lambda k, some, sig=sig: (sig[some] == sig[k]).sum(1) >= need)
+            edges = forest(len(ids), similar(column(rows, "payload").take(pa.array(order))))
             if edges:
-                yield _edges(ids, edges)
+                yield _edges(ids[order], edges)
 
-    keys = ["key", "tile_i", "tile_j"]
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    rows = small.join(payload(small.select("id").distinct()), "id").select("grp", "id", "payload")
+    found, _ = shared.written(rows.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long"))
+    large = members.where(F.col("members") > GROUP).select("grp", "id")
+    return _in_rounds(large, payload, similar, found) if large.limit(1).count() else found
 
 
-def link_edges(docs: DataFrame, reps: DataFrame, clusters: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """A spanning forest of the true links within clusters (id, component) of classes, tested on full sets; reps tell a class's set and a document of it."""
+def _in_rounds(members: DataFrame, payload: Callable[[DataFrame], DataFrame], similar: Similar, edges: DataFrame) -> DataFrame:
+    """The same for large groups, from edges known before: rounds of pivots against whole groups.
+
+    Of two rows in different trees one lies outside the group's largest tree. So pivots are drawn from there; each is
+    compared with all rows of its group that are in other trees, and then done. A group is finished when
+    none is left. Copies of one text need one round, as its first pivots join all; rounds draw twice as many pivots each time.
+    """
+    spark = members.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    state, state_path = shared.written(members.withColumn("done", F.lit(False)))
+    ids = state.select("id").distinct()
+    texts, texts_path = shared.written(payload(ids).join(ids, "id", "left_semi"))
+    keys = ["grp", "block", "tile"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, keys):
+            ids, pivot = column(rows, "id").to_numpy(), column(rows, "pivot").to_numpy(zero_copy_only=False)
+            order = np.lexsort((ids, ~pivot))
+            ids, partners = ids[order], similar(column(rows, "payload").take(pa.array(order)))
+            _, tree = np.unique(column(rows, "tree").to_numpy()[order], return_inverse=True)
+            n, out = int(pivot.sum()), []
+            others = np.arange(n, len(ids))
+            for p in range(n):
+                some = others[tree[others] != tree[p]]
+                hits = some[partners(p, some)] if len(some) else some
+                joined, first = np.unique(tree[hits], return_index=True)
+                out += [(p, int(k)) for k in hits[first]]
+                tree[np.isin(tree, joined)] = tree[p]
+            if out:
+                yield _edges(ids, out)
+
+    for number in itertools.count():
+        trees = components(edges)
+        placed, placed_path = shared.written(state.join(trees, "id", "left").select("grp", "id", "done", F.coalesce("component", "id").alias("tree")))
+        shared.remove(spark, state_path)
+        by_tree = placed.groupBy("grp", "tree").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("done")).alias("open"))
+        largest = F.struct("n", "tree")
+        groups = by_tree.groupBy("grp").agg(F.sum("n").alias("members"), F.max_by("tree", largest).alias("main"), (F.sum("open") - F.max_by("open", largest)).alias("open")).where("open > 0")
+        if not groups.limit(1).count():
+            break
+        wanted = TILE << min(number, 20)
+        rows = placed.join(groups, "grp")
+        chance = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(1 << 20)) < F.ceil(F.lit(wanted << 20) / F.col("open"))
+        rows = rows.withColumn("pivot", ~F.col("done") & (F.col("tree") != F.col("main")) & chance)
+        tiles, blocks_ = F.ceil(F.least("open", F.lit(wanted)) / TILE).cast("int"), F.ceil(F.col("members") / TILE).cast("int")
+        block, tile = F.pmod(F.xxhash64("id"), blocks_).cast("int"), F.pmod(F.xxhash64("id", F.lit("tile")), tiles).cast("int")
+        nodes = rows.select("grp", "id", "tree", F.lit(False).alias("pivot"), block.alias("block"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"))
+        pivots = rows.where("pivot").select("grp", "id", "tree", "pivot", tile.alias("tile"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("block"))
+        dealt = nodes.unionByName(pivots).join(texts, "id").select(*keys, "id", "tree", "pivot", "payload")
+        new, _ = shared.written(dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long"))
+        edges = edges.unionByName(new)
+        state, state_path = shared.written(rows.select("grp", "id", (F.col("done") | F.col("pivot")).alias("done")))
+        shared.remove(spark, placed_path)
+    shared.remove(spark, placed_path)
+    shared.remove(spark, texts_path)
+    return edges
+
+
+def match_edges(reps: DataFrame, need: int) -> DataFrame:
+    """Edges (a, b) between classes whose signatures agree in ``need`` coordinates and which share a posting list of their prefixes.
+
+    Agreements are counted on whole signatures, not by merging records of pairs, as a list of n classes would give n * n of those.
+    """
+    posted = reps.select("id", F.posexplode("sig")).select("id", F.xxhash64("pos", "col").alias("key"))
+    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    shared_ = posted.join(counts.withColumn("count", F.least("count", F.lit(2**31 - 1)).cast("int")), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("keys"))  # K at most
+    prefix, path = shared.written(shared_.where(F.size("keys") >= need).select("id", F.explode(F.transform(F.slice("keys", F.lit(1), F.size("keys") - (need - 1)), lambda x: x["key"])).alias("grp")))
+    lists = prefix.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sig = reps.select("id", F.col("sig").alias("payload"))
+
+    def similar(payload: pa.Array) -> Callable[[int, np.ndarray], np.ndarray]:
+        rows = payload.flatten().to_numpy().reshape(len(payload), -1)
+        return lambda k, some: (rows[some] == rows[k]).sum(1) >= need
+
+    found = linked(prefix.join(lists, "grp"), lambda ids: sig, similar)  # written, so that nothing reads the prefixes any more
+    shared.remove(reps.sparkSession, path)
+    return found
+
+
+def set_test(threshold: tuple[int, int]) -> Similar:
+    """Of packed sets, whether two are as similar as a threshold asks."""
     above, of = threshold
-    own = reps.select(F.col("class"), F.col("id").alias("doc"), "size", "c1", "c2").join(clusters.select(F.col("id").alias("class")), "class")
-    # most documents are in no cluster: their texts stay out of the shuffle
-    docs = passing(docs, id_filter(own.select("doc")), "id").withColumnRenamed("id", "doc")
-    routes = tiled(clusters, "component", "id", 2 * TILE).groupBy("id").agg(F.first("component").alias("component"), F.collect_set(F.struct("tile_i", "tile_j")).alias("tiles"))
+
+    def similar(payload: pa.Array) -> Callable[[int, np.ndarray], np.ndarray]:
+        members = [np.frombuffer(x.as_buffer(), np.uint64) for x in payload]
+        sizes = np.array([len(m) for m in members], np.int64)
+        words, codes = np.unique(np.concatenate(members), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        marked = np.zeros(len(words), bool)
+
+        def partners(k: int, some: np.ndarray) -> np.ndarray:
+            own = codes[first[k] : first[k + 1]]
+            # sets whose sizes alone rule a link out are not looked at
+            near = (of * np.minimum(sizes[some], sizes[k]) >= above * np.maximum(sizes[some], sizes[k])).nonzero()[0]
+            out = np.zeros(len(some), bool)
+            if not len(near):
+                return out
+            marked[own] = True
+            all_ = len(near) * 4 > len(sizes)
+            common = np.bincount(doc, marked[codes], len(sizes))[some[near]] if all_ else np.array([marked[codes[first[s] : first[s + 1]]].sum() for s in some[near]])
+            marked[own] = False
+            out[near] = of * common >= above * (sizes[k] + sizes[some[near]] - common)
+            return out
+
+        return partners
+
+    return similar
+
+
+def link_edges(docs: DataFrame, reps: DataFrame, clusters: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """The true links within clusters (id, component) of classes, tested on full sets: edges with the same components. reps tell a class's set and a document of it."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,38 +279,16 @@ def link_edges(docs: DataFrame, reps: DataFrame, clusters: DataFrame, n: int, th
                 part = batch.slice(block.rows[0], len(block))
                 # an id may have other texts than the class's
                 same = (np.diff(first) == column(part, "size").to_numpy()) & (c1 == column(part, "c1").to_numpy()) & (c2 == column(part, "c2").to_numpy())
-                yield pa.RecordBatch.from_arrays([column(part, "id"), column(part, "component"), column(part, "tiles"), packed], ["id", "component", "tiles", "set"]).filter(pa.array(same))
-
-    held = docs.join(routes.join(own.withColumnRenamed("class", "id"), "id"), "doc").select("id", "component", "tiles", "size", "c1", "c2", "text").mapInArrow(sets, "id long, component long, tiles array<struct<tile_i:int,tile_j:int>>, set binary")
-    keys = ["component", "tile_i", "tile_j"]
-    rows = held.dropDuplicates(["id"]).select("id", "component", "set", F.explode("tiles").alias("tile")).select("id", "component", "tile.tile_i", "tile.tile_j", "set")
+                yield pa.RecordBatch.from_arrays([column(part, "id"), packed], ["id", "payload"]).filter(pa.array(same))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run_ in grouped(batches, keys):
-            ids = column(run_, "id").to_numpy()
-            packed = column(run_, "set")
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            members = [np.frombuffer(packed[int(k)].as_buffer(), np.uint64) for k in order]
-            sizes = np.array([len(m) for m in members], np.int64)
-            words, codes = np.unique(np.concatenate(members), return_inverse=True)
-            first = np.concatenate([[0], np.cumsum(sizes)])
-            doc = np.repeat(np.arange(len(ids)), sizes)
-            marked = np.zeros(len(words), bool)
-
-            def partners(k: int, some: np.ndarray) -> np.ndarray:
-                own = codes[first[k] : first[k + 1]]
-                marked[own] = True
-                common = np.bincount(doc, marked[codes], len(ids))[some] if len(some) * 4 > len(ids) else np.array([marked[codes[first[s] : first[s + 1]]].sum() for s in some])
-                marked[own] = False
-                return of * common >= above * (sizes[k] + sizes[some] - common)
-
-            edges = forest(len(ids), partners)
-            if edges:
-                yield _edges(ids, edges)
+    def payload(ids: DataFrame) -> DataFrame:
+        own = reps.select(F.col("class").alias("id"), F.col("id").alias("doc"), "size", "c1", "c2").join(ids, "id")
+        # most documents are in no cluster: their texts stay out of the shuffle
+        some = passing(docs, id_filter(own.select("doc")), "id").withColumnRenamed("id", "doc")
+        return some.join(own, "doc").select("id", "size", "c1", "c2", "text").mapInArrow(sets, "id long, payload binary").dropDuplicates(["id"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    counts = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    return linked(clusters.join(counts, "component").select(F.col("component").alias("grp"), "id", "members"), payload, set_test(threshold))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -216,7 +298,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of their distinct n-word shingles; component_id is the least id reachable. A
     document without words is linked with nothing. Rows that repeat an id are judged each by
     their own text, and links to any of them count for the id. A row
-    without an id is linked with nothing, has no component_id and is kept.
+    without an id is linked with nothing, has no component_id and is kept. An empty table gives no rows. A
+    very long text is one set, in memory that grows with its length. Further columns are not read, whatever their names.
     """
     shared.small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -225,7 +308,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = some.groupBy("size", "c1", "c2").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig"))
     reps, _ = shared.written(found.withColumn("class", F.monotonically_increasing_id()))  # the number stays as written
     need = matches_needed(threshold[0] / threshold[1])
-    clusters, _ = shared.written(components(match_edges(reps.select(F.col("class").alias("id"), "sig"), need)))
+    clusters, _ = shared.written(components(match_edges(reps.select(F.col("class").alias("id"), "sig"), need)))  # matches are few beside texts
     links = link_edges(source, reps, clusters, n, threshold)
     for end in ("a", "b"):
         links = links.join(reps.select(F.col("class").alias(end), F.col("id").alias(f"{end}_id")), end)
@@ -238,3 +321,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = known.drop("sig").join(classes, ["size", "c1", "c2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return found.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+#: The same over ``documents`` as DuckDB SQL: all pairs of documents of like size, for two-word shingles and 0.8.
+ORACLE_SQL = r"""
+with recursive d as (
+  select doc_id, row_number() over () as row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, row, list_distinct(case when len(w) < 2 then w else list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) end) as s from d
+), each as (
+  select row, doc_id, len(s) as n, unnest(s) as shingle from s where doc_id is not null
+), numbers as (
+  select shingle, row_number() over () as k from each group by shingle having count(*) > 1
+), coded as (
+  select row, doc_id, n, k from each join numbers using (shingle)
+), links as (
+  select any_value(a.doc_id) as a, any_value(b.doc_id) as b
+  from coded a join coded b on a.k = b.k and a.row < b.row and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.row, b.row having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), pairs as (
+  select a, b from links union select b, a from links
+), reach as (
+  select a as id, b as other from pairs union select r.id, l.b from reach r join pairs l on r.other = l.a
+), least_ as (
+  select id, min(other) as other from reach group by id
+)
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce(other, doc_id)) as component_id, coalesce(least(doc_id, coalesce(other, doc_id)) = doc_id, true) as kept
+from s left join least_ on least_.id = s.doc_id
+"""

@@ -68,4 +68,4 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_minhash_dedup, op4_sentencepiece, op5_packing, op6_quality_rules, op7_language_id, op8_token_counts, op9_toxicity, op10_fingerprints)
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.ORACLE_SQL, "op2_substring_dedup": substrings.ORACLE_SQL, "op6_quality_rules": quality.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.ORACLE_SQL, "op2_substring_dedup": substrings.ORACLE_SQL, "op3_minhash_dedup": neardup.ORACLE_SQL, "op6_quality_rules": quality.oracle()}

@@ -65,21 +65,28 @@ def test_an_id_with_several_texts(spark):
         assert {r[0] for r in got if r[3]} == {5, 21}
 
 
-def test_large_groups_in_tiles(spark, monkeypatch):
-    """Posting lists and clusters beyond one tile give the same groups."""
-    monkeypatch.setattr(neardup, "LIST", 8)
+def test_large_groups_in_rounds(spark, monkeypatch):
+    """Posting lists and clusters beyond one task give the same groups: near copies, chains of them, and texts that are alike but not linked."""
+    monkeypatch.setattr(neardup, "GROUP", 8)
     monkeypatch.setattr(neardup, "TILE", 4)
     rng = random.Random(2)
     base = [f"w{rng.randrange(500)}" for _ in range(80)]
     data = []
-    for i in range(60):
-        own = list(base)
-        for _ in range(rng.randrange(9)):
-            own[rng.randrange(80)] = f"v{rng.randrange(10**6)}"
-        data.append((i, " ".join(own)))
+    for changes in (9, 16):
+        for _ in range(25):
+            own = list(base)
+            for _ in range(rng.randrange(changes)):
+                own[rng.randrange(80)] = f"v{rng.randrange(10**6)}"
+            data.append((len(data), " ".join(own)))
+    chain = [f"c{k}" for k in range(80)]
+    for k in range(25):
+        chain[k * 3 : k * 3 + 3] = [f"d{k}a", f"d{k}b", f"d{k}c"]
+        data.append((len(data), " ".join(chain)))
+    rng.shuffle(data)
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = Counter(tuple(r) for r in neardup.near_duplicates(df, n=2).select("doc_id", "n_shingles", "component_id", "kept").collect())
     assert got == groups(data, 2)
+    assert 3 < sum(r[3] for r in got) < 50
 
 
 def test_no_documents(empty):
@@ -119,6 +126,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """The rows of a hub are dealt over tasks, with the same result."""
+    from emberlog.llm import components as module
+
+    monkeypatch.setattr(module, "DEGREE", 4)
+    edges = [(500, k) for k in range(501, 560)] + [(k, 700) for k in range(600, 650)] + [(559, 650), (650, 649), (1, 2)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got.pop(1) == got.pop(2) == 1 and set(got.values()) == {500} and len(got) == 60 + 51 + 1
+
+
 def test_id_filter(spark):
     keep = id_filter(spark.range(0, 1000, 3))
     assert isinstance(keep, IdFilter) and keep(np.arange(0, 1000, 3)).all()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import shared
 from emberlog.llm.filters import BITS_PER_ID, MAX_BITS, IdFilter, id_filter
-from emberlog.llm.fmindex import Index, least_of
+from emberlog.llm.fmindex import Index
 from emberlog.llm.neardup import grouped
 from emberlog.llm.text import Block, Codes, blocks, column, inner, mix, numbered, windows
 
@@ -251,12 +251,11 @@ def reports(found: DataFrame) -> DataFrame:
         text = np.zeros(len(codes) + len(sizes), np.int64)
         segment = np.repeat(np.arange(len(sizes)), sizes)
         text[np.arange(len(codes)) + segment] = codes + 1
-        index = Index(text, int(codes.max()) + 2)
+        index = Index(text, int(codes.max()) + 2, np.repeat(low, sizes + 1))
         at, of = inner(first, LENGTH)
         lows = low[of]
         alive, begin, end = index.matching(text, at + of + LENGTH - 1, LENGTH)
-        segment_of = np.searchsorted(first + np.arange(len(first)), np.arange(len(text)), "right") - 1
-        lows[alive] = least_of(low[segment_of[index.suffixes]], begin, end)
+        lows[alive] = index.least_of(begin, end)
         counts = sizes - LENGTH + 1
         bounds = np.concatenate([[0], np.cumsum(counts)])
         told = np.flatnonzero(np.minimum.reduceat(lows, bounds[:-1]) < high)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from emberlog.llm import neardup, substrings
 from emberlog.llm.components import components
 from emberlog.llm.filters import IdFilter, id_filter
-from emberlog.llm.fmindex import Bits, Index, Wavelet, least_of
+from emberlog.llm.fmindex import Bits, Index, Wavelet
 from emberlog.llm.shingles import shingle_sets
 from emberlog.llm.text import blocks
 
@@ -164,7 +164,8 @@ def test_bits_and_wavelet():
 def test_backward_search():
     rng = np.random.default_rng(7)
     text = np.append(rng.integers(1, 4, 499), 0)  # a zero ends the last segment
-    index = Index(text, 4)
+    values = rng.integers(0, 1000, 500)
+    index = Index(text, 4, values)
     for length in (1, 3, 13):
         ends = np.arange(length - 1, 499)
         alive, low, high = index.matching(text, ends, length)
@@ -173,8 +174,7 @@ def test_backward_search():
         for k, e in enumerate(ends):
             n = counts[tuple(text[e - length + 1 : e + 1])]
             assert own.get(k, 1) == n
-        values = rng.integers(0, 1000, 500)
-        least = least_of(values[index.suffixes], low, high)
+        least = index.least_of(low, high)
         for a, v in zip(alive, least, strict=True):
             run = tuple(text[ends[a] - length + 1 : ends[a] + 1])
             assert v == min(values[e - length + 1] for e in ends if tuple(text[e - length + 1 : e + 1]) == run)

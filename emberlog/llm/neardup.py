@@ -104,6 +104,35 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, weight: Callable[[pa.RecordBatch], np.ndarray], limit: int) -> Iterator[pa.RecordBatch]:
+    """Whole runs of rows with equal keys, put together until they weigh ``limit`` or more; from batches of a partition sorted by the key."""
+    held: list[pa.RecordBatch] = []
+    total, last = 0, None
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = column(batch, key).to_numpy()
+        upto = np.concatenate([[0], np.cumsum(weight(batch))])
+        begins = np.flatnonzero(np.concatenate([[last is not None and keys[0] != last], keys[1:] != keys[:-1]]))
+        at, last = 0, keys[-1]
+        while True:  # the first begin of a run before which there is enough
+            k = int(np.searchsorted(upto[begins] - upto[at], limit - total))
+            if k == len(begins):
+                break
+            to = int(begins[k])
+            held += [batch.slice(at, to - at)] * (to > at)
+            yield joined()
+            held, total, at = [], 0, to
+        held.append(batch.slice(at))
+        total += int(upto[-1] - upto[at])
+    if held:
+        yield joined()
+
+
 def forest(n: int, partners: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph on 0..n-1; partners(k, some) says which of some are neighbours of k.
 
@@ -144,12 +173,14 @@ def linked(members: DataFrame, payload: Callable[[DataFrame], DataFrame], simila
     small = members.where(F.col("members") <= GROUP).select("grp", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, ["grp"]):
-            ids = column(rows, "id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            edges = forest(len(ids), similar(column(rows, "payload").take(pa.array(order))))
+        for rows in whole_groups(batches, "grp", lambda b: np.ones(len(b), np.int64), 4 * GROUP):
+            ids, grp = column(rows, "id").to_numpy(), column(rows, "grp").to_numpy()
+            order = np.lexsort((ids, grp))
+            ids, grp, partners = ids[order], grp[order], similar(column(rows, "payload").take(pa.array(order)))
+            bounds = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
+            edges = [(at + a, at + b) for at, to in zip(bounds, bounds[1:], strict=False) for a, b in forest(to - at, lambda k, some, at=at: partners(at + k, at + some))]
             if edges:
-                yield _edges(ids[order], edges)
+                yield _edges(ids, edges)
 
     rows = small.join(payload(small.select("id").distinct()), "id").select("grp", "id", "payload")
     found, _ = shared.written(rows.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long"))

@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import shared
-from emberlog.llm.filters import BITS_PER_ID, MAX_BITS, IdFilter, id_filter
+from emberlog.llm.filters import BITS_PER_ID, MAX_BITS, IdFilter, id_filter, passing
 from emberlog.llm.fmindex import Index
-from emberlog.llm.neardup import grouped
+from emberlog.llm.neardup import whole_groups
 from emberlog.llm.text import Block, Codes, blocks, column, inner, mix, numbered, windows
 
 LENGTH, ANCHOR = 13, 4
+_LOW = np.uint64(0xFFFF)
 #: Documents that share an anchor from which on its runs are dealt out one by one.
 HOT = 5000
 #: Repeated anchors that a filter of bounded size holds well.
@@ -43,14 +44,17 @@ def anchored(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     starts, ends, first = block.spans()
     hashes = block.hashes(starts, ends)
     at, doc = inner(first, LENGTH)
-    grams = windows(hashes, ANCHOR) >> np.uint64(16)
-    best, place = grams[at], at.copy()
-    for k in range(1, LENGTH - ANCHOR + 1):
-        other = grams[at + k]
-        less = other <= best
-        best = np.where(less, other, best)
-        place[less] = at[less] + k
-    return at, doc, place, best.view(np.int64), (starts, ends, first, hashes)
+    # the place goes into the low bits, counted down: of equal hashes the last is the least
+    grams = windows(hashes, ANCHOR)
+    least = grams & ~_LOW | ~np.arange(len(grams), dtype=np.uint64) & _LOW
+    width, whole = 1, LENGTH - ANCHOR + 1
+    while width < whole:  # the least of each window, from those of half its width
+        step = min(width, whole - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    best = least[at]
+    place = at + ((~best - at.astype(np.uint64)) & _LOW).astype(np.int64)
+    return at, doc, place, (best >> np.uint64(16)).view(np.int64), (starts, ends, first, hashes)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -112,11 +116,13 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, Repeated]:
     anchor that a filter lets pass by mistake only makes a segment more. Beyond
     that bound the anchors are joined and the documents get theirs as lists.
     """
-    found = anchors(docs.select("id", "text"))
+    found = anchors(docs)
     counts = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("count")).where("low < high")
-    counts, _ = shared.written(counts.select("anchor", (F.col("count") >= HOT).alias("hot")))
+    counts, path = shared.written(counts.select("anchor", (F.col("count") >= HOT).alias("hot")))
     if counts.count() <= MAX_FILTERED:
-        return docs, Repeated(id_filter(counts.select("anchor")), id_filter(counts.where("hot").select("anchor")))
+        known = Repeated(id_filter(counts.select("anchor")), id_filter(counts.where("hot").select("anchor")))
+        shared.remove(docs.sparkSession, path)
+        return docs, known
     by_document = found.join(counts, "anchor").groupBy("id").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     return docs.join(by_document, "id", "left"), Repeated()
 
@@ -142,9 +148,6 @@ class Cut:
         self.route = np.concatenate([best[heads], runs[at[singles]].view(np.int64)])
         self.doc = np.concatenate([doc[heads], doc[singles]])
         self.start = self.head - first[self.doc]
-        self.candidate = np.zeros(len(block), bool)
-        self.candidate[self.doc] = True
-        self.rows = np.array([int.from_bytes(_key(block.raw(k), 8), "little", signed=True) if c else 0 for k, c in enumerate(self.candidate.tolist())], np.int64)
 
     def contents(self, block: Block) -> tuple[list[bytes], np.ndarray]:
         """The bytes of each segment, and two 64-bit keys of them."""
@@ -201,45 +204,34 @@ def places(docs: DataFrame, known: Repeated) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(column(batch, "text")):
-                cut = Cut(batch.slice(block.rows[0], len(block)), block, shared_.value)
+                part = batch.slice(block.rows[0], len(block))
+                cut = Cut(part, block, shared_.value)
                 if len(cut.head):
                     _, keys = cut.contents(block)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), cut.ids.take(pa.array(cut.doc)), pa.array(cut.rows[cut.doc]), pa.array(cut.start.astype(np.int32))], ["k1", "k2", "id", "row", "start"])
+                    doc = pa.array(cut.doc)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), cut.ids.take(doc), column(part, "row").take(doc), pa.array(cut.start.astype(np.int32))], ["k1", "k2", "id", "row", "start"])
 
     return docs.mapInArrow(run, "k1 long, k2 long, id long, row long, start int")
 
 
-def documents(docs: DataFrame, known: Repeated, candidates: bool, with_text: bool, keep: dict[str, str]) -> DataFrame:
-    """Candidates: (id, row, text) of documents with segments. Others, with nothing to remove: (id, n_words, n_removed, kept_sha256 and, by ``with_text``, text). Both with columns to keep."""
-    shared_ = docs.sparkSession.sparkContext.broadcast(known)
+def untouched(docs: DataFrame, with_text: bool, keep: dict[str, str]) -> DataFrame:
+    """(id, n_words, n_removed, kept_sha256 and, by ``with_text``, text, and columns to keep) of documents that lose nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(column(batch, "text")):
                 part = batch.slice(block.rows[0], len(block))
-                cut = Cut(part, block, shared_.value)
-                some = np.flatnonzero(cut.candidate == candidates)
-                if not len(some):
-                    continue
-                own = part.take(pa.array(some))
-                text = column(own, "text").cast(pa.string())
-                rest = [column(own, k) for k in keep]
-                if candidates:
-                    yield pa.RecordBatch.from_arrays([column(own, "id"), pa.array(cut.rows[some]), text, *rest], ["id", "row", "text", *keep])
-                else:
-                    digests = [_digest(block.raw(k)) for k in some.tolist()]
-                    columns = [column(own, "id"), pa.array([d[0] for d in digests], pa.int64()), pa.array(np.zeros(len(some), np.int64)), pa.array([d[1] for d in digests])]
-                    yield pa.RecordBatch.from_arrays(columns + [text] * with_text + rest, ["id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text + [*keep])
-
-    more = "".join(f", {k} {kind}" for k, kind in keep.items())
-    return docs.mapInArrow(run, ("id long, row long, text string" if candidates else "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text) + more)
+                digests = [_digest(block.raw(k)) for k in range(len(block))]
+                columns = [column(part, "id"), pa.array([d[0] for d in digests], pa.int64()), pa.array(np.zeros(len(block), np.int64)), pa.array([d[1] for d in digests])]
+                yield pa.RecordBatch.from_arrays(columns + [column(part, "text").cast(pa.string())] * with_text + [column(part, k) for k in keep], ["id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text + [*keep])
+
+    return docs.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text + "".join(f", {k} {kind}" for k, kind in keep.items()))
 
 
 def reports(found: DataFrame) -> DataFrame:
     """(k1, k2, lows) of distinct segments: for each of its runs the least id of a document that has it; only of those where that tells anything."""
 
-    def indexed(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+    def indexed(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys = np.stack([column(table, "k1").to_numpy(), column(table, "k2").to_numpy()], 1)
         once, low, high = _merged(keys, column(table, "low").to_numpy(), column(table, "high").to_numpy())
         table = table.take(pa.array(once))
@@ -264,15 +256,8 @@ def reports(found: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([column(taken, "k1"), column(taken, "k2"), lists], ["k1", "k2", "lows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = [], 0
-        for rows in grouped(batches, ["route"]):
-            held.append(rows)
-            words += pc.sum(pc.binary_length(column(rows, "content"))).as_py() // 6
-            if words >= INDEX_WORDS:
-                yield from indexed(held)
-                held, words = [], 0
-        if held:
-            yield from indexed(held)
+        for rows in whole_groups(batches, "route", lambda b: pc.binary_length(column(b, "content")).to_numpy() // 6, INDEX_WORDS):
+            yield from indexed(rows)
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return found.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(run, "k1 long, k2 long, lows array<long>")
@@ -284,15 +269,20 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kept_sha256 is of the words left, joined by one space. A text that loses
     nothing stays as it is; else what is left between removed words is
     joined by one space. Of rows that share an id none counts as smaller; rows
-    without an id are never removed from and remove from nothing. A null text has no words and stays null.
+    without an id are never removed from and remove from nothing. A null text has no words and stays null. An empty table gives
+    no rows. A very long text is cut whole, in memory that grows with its length. Columns to keep may have any name; others are not read.
     """
     shared.small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
+    text = F.col(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("row"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
     kinds = {f.name: f.dataType.simpleString() for f in source.schema if f.name.startswith("_keep_")}
-    source, known = repeated(source)
-    told = places(source, known).join(reports(segments(source, known)), ["k1", "k2"])
-    told = told.where(F.array_min("lows") < F.col("id")).groupBy("id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("lows").alias("lows"))
-    texts = documents(source, known, True, with_text, kinds).join(told, ["id", "row"], "left")
+    own = source.select("id", "text", "row")
+    own, known = repeated(own)
+    told = places(own, known).join(reports(segments(own, known)), ["k1", "k2"])
+    told, _ = shared.written(told.where(F.array_min("lows") < F.col("id")).groupBy("id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("lows").alias("lows")))
+    # the texts of documents that lose nothing stay out of the shuffle
+    losers = id_filter(told.select("id"))
+    texts = passing(source, losers, "id").join(told, ["id", "row"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +320,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     shown = ["id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text + [*kinds]
     changed = texts.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text + "".join(f", {k} {kind}" for k, kind in kinds.items()))
-    done = documents(source, known, False, with_text, kinds)
+    done = untouched(passing(source, losers, "id", inverse=True), with_text, kinds)
     return done.unionByName(changed).select(*shown).withColumnsRenamed({"id": id_col} | ({"text": text_col} if with_text else {}) | {f"_keep_{k}": c for k, c in enumerate(keep)})
 
 

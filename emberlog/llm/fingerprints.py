@@ -1,7 +1,8 @@
 """Winnowing: fingerprints of documents that share a hash whenever they share a long enough run of words.
 
-Hashes of all runs of ``k`` words are taken, and from every window of ``w``
-neighbouring hashes the least, the rightmost of equal ones. Any run of
+Every word is hashed once. The hash of a run of ``k`` words rolls along: it is the exclusive or of its words'
+hashes, each turned by one bit for every word behind it, and mixed at the end. From every window of ``w``
+neighbouring hashes the least is taken, the rightmost of equal ones. Any run of
 ``w + k - 1`` words that two texts share then yields a common fingerprint, and
 its positions are kept. A text of fewer than ``k`` words is one run; a text
 without words has no fingerprint.
@@ -20,30 +21,39 @@ K, WINDOW = 2, 4
 def winnow(text: Column, k: int = K, w: int = WINDOW) -> Column:
     """Chosen hashes in order of position: an array of structs (hash, position), positions counted in words."""
 
+    def turned(h: Column) -> Column:
+        return F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63))
+
+    def shifted(x: Column, by: int, less: int) -> Column:
+        """x without its first ``by`` elements, and ``less`` fewer in all; empty where there are no more."""
+        return F.slice(x, F.lit(by + 1), F.greatest(F.size(x) - less, F.lit(0)))
+
     def hashed(x: Column) -> Column:
-        full = F.transform(index(F.size(x) - (k - 1)), lambda i: F.xxhash64(*[x[i + j] for j in range(k)]))
+        def runs(run: Column, own: Column, j: int) -> Column:  # a run takes that of one word less, turned, and the word behind it
+            if j == k:
+                return F.transform(run, lambda v: F.xxhash64(v))
+            longer = F.zip_with(shifted(run, 0, 1), shifted(own, j, j), lambda a, b: turned(a).bitwiseXOR(b))
+            return let(longer, lambda r: runs(r, own, j + 1))
+
         short = F.array(F.xxhash64(F.array_join(x, " ")))
+        full = let(F.transform(x, lambda v: F.xxhash64(v)), lambda own: runs(own, own, 1))
         return F.when(F.size(x) >= k, full).when(F.size(x) > 0, short).otherwise(F.array().cast("array<bigint>"))
 
     def chosen(h: Column) -> Column:
-        n = F.size(h)
-
-        def place(i: Column) -> Column:
-            values = [h[i + j] for j in range(w)]
-            least = F.least(*values)
-            at = F.lit(0)
-            for j in range(1, w):  # the last that equals the least stands
-                at = F.when(h[i + j] == least, F.lit(j)).otherwise(at)
-            return i + at
+        # places are counted down, so that of equal hashes the rightmost is the least
+        marked = F.transform(h, lambda v, i: F.struct(v.alias("hash"), (-i).alias("back")))
 
-        def shorter() -> Column:
-            least = F.array_min(h)
-            return F.when(n > 0, F.array((n - F.array_position(F.reverse(h), least)).cast("int"))).otherwise(F.array().cast("array<int>"))
+        def least(m: Column, width: int) -> Column:  # of each window, from the leasts of windows of half its width
+            if width == w:
+                return F.array_distinct(m)
+            step = min(width, w - width)
+            return let(F.zip_with(shifted(m, 0, step), shifted(m, step, step), lambda a, b: F.least(a, b)), lambda x: least(x, width + step))
 
-        places = F.when(n >= w, F.array_distinct(F.transform(index(n - (w - 1)), place))).otherwise(shorter())
-        return F.transform(places, lambda p: F.struct(h[p].alias("hash"), p.alias("position")))
+        one = F.when(F.size(h) > 0, F.array(F.array_min(marked))).otherwise(F.array().cast("array<struct<hash:bigint,back:int>>"))
+        found = F.when(F.size(h) >= w, let(marked, lambda m: least(m, 1))).otherwise(one)
+        return F.transform(found, lambda m: F.struct(m["hash"].alias("hash"), (-m["back"]).alias("position")))
 
-    return let(words(F.coalesce(text, F.lit(""))), lambda x: let(hashed(x), chosen))
+    return let(words(F.coalesce(text, F.lit(""))), lambda x: let(hashed(x), lambda h: chosen(h)))
 
 
 def digest(marks: Column) -> Column:
@@ -71,7 +81,7 @@ def with_next(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     of the id are ordered by text; null ids come lowest.
     """
     spark = docs.sparkSession
-    n = min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many as the session deals any shuffle into
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     steps = F.array(*[F.lit(j / n) for j in range(1, n)])
     bounds = sorted(set(source.agg(F.percentile_approx("id", steps, 20 * n).alias("b")).first()["b"] or []))
@@ -80,8 +90,10 @@ def with_next(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     order = [F.col("id").asc_nulls_first(), F.col("text").asc()]
     inside = Window.partitionBy("bucket").orderBy(*order)
     highest = source.groupBy("bucket").agg(F.max_by("text", F.struct(F.col("id").isNotNull().alias("known"), "id", "text")).alias("top"))
-    over = Window.orderBy("bucket")  # of the buckets' tops, at most 4096 rows
-    below = highest.select("bucket", F.coalesce(F.lag("top").over(over), F.last("top").over(over.rowsBetween(0, Window.unboundedFollowing))).alias("below"))
+    # which bucket lies below is told by their numbers alone; texts don't meet in one task
+    known = sorted(r["bucket"] for r in source.select("bucket").distinct().collect())  # n at most
+    pairs = spark.createDataFrame([(b, known[k - 1]) for k, b in enumerate(known)], "bucket int, other int")
+    below = F.broadcast(pairs).join(highest.select(F.col("bucket").alias("other"), F.col("top").alias("below")), "other").select("bucket", "below")
     rows = source.withColumn("lower", F.lag("text").over(inside)).withColumn("place", F.row_number().over(inside))
     return rows.join(below, "bucket")
 
@@ -90,8 +102,10 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Fingerprints of every text and of the text with its last third replaced by the next document's begin.
 
     Columns: id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, n_marks. A null text counts as empty; of repeated
-    rows each is the other's neighbour; a lone row is followed by itself.
+    near_edited, near_next, n_marks and marks, the hashes chosen with their positions, from which equal runs can be
+    told. A null text counts as empty; of repeated
+    rows each is the other's neighbour; a lone row is followed by itself. Rows without an id come last. An empty table gives no rows. A very
+    long text is one row's array, in memory that grows with its words. Further columns are not read, whatever their names.
     """
     rows = with_next(docs, id_col=id_col, text_col=text_col)
     following = F.coalesce(F.col("lower"), F.col("below"))
@@ -109,5 +123,5 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     near = let(hashes("marks"), lambda own: F.struct(let(hashes("edited_marks"), lambda x: likeness(own, x)).alias("edited"), let(hashes("next_marks"), lambda x: likeness(own, x)).alias("next")))
     return both.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", digest(F.col("marks")).alias("fingerprint"), digest(F.col("edited_marks")).alias("edited_fingerprint"), near.alias("near"), F.size("marks").cast("long").alias("n_marks")
-    ).select(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("near.edited").alias("near_edited"), F.col("near.next").alias("near_next"), "n_marks")
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", digest(F.col("marks")).alias("fingerprint"), digest(F.col("edited_marks")).alias("edited_fingerprint"), near.alias("near"), F.size("marks").cast("long").alias("n_marks"), "marks"
+    ).select(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("near.edited").alias("near_edited"), F.col("near.next").alias("near_next"), "n_marks", "marks")

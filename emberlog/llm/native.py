@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 #: A word: a run of bytes that are neither space nor U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

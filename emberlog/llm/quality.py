@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.native import SPACE, index, let, words
+from emberlog.llm.native import index, let, words
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -54,18 +54,18 @@ def _repeat_words(w: Column, n: int = 3) -> Column:
         found = let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), of_sorted)
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(found)
 
-    return let(F.transform(index(F.size(w) - (n - 1)), lambda i: F.xxhash64(*[w[i + k] for k in range(n)])), repeated)
+    # each word is hashed once, a run is the hash of its words' hashes
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda g: let(F.transform(index(F.size(g) - (n - 1)), lambda i: F.xxhash64(*[g[i + k] for k in range(n)])), repeated))
 
 
 def measures(text: Column) -> dict[str, Column]:
     """Counts of a text (null: empty) as columns, apart from what is derived from them."""
     text = F.coalesce(text, F.lit(""))
-    by_words = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words"), F.size(F.filter(w, lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words")))
-    lines = let(F.filter(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, SPACE, "") != ""), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    by_words = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).cast("long").alias("n_repeat_words"), F.size(F.filter(w, lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words")))
+    lines = let(F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     return {
         "by_words": by_words,
         "lines": lines,
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
     }
 
@@ -95,13 +95,15 @@ def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ru
     """Counts and verdict of every row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words, n_lines, base_failed, kept.
 
     A null or empty text has no words and fails the base rules. Repeated rows
-    are judged each; no row needs another, so nothing is shuffled.
+    are judged each; no row needs another, so nothing is shuffled. An empty table gives no rows. A measure that equals its
+    bound passes. A very long text is measured whole, in memory that grows with its words. Further columns are
+    not read, whatever their names.
     """
     got = docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in measures(F.col(text_col)).items()])
     flat = got.select(
         F.col("id").alias(id_col),
         F.col("by_words.n_words").alias("n_words"),
-        "word_chars",
+        F.col("by_words.word_chars").alias("word_chars"),
         "n_symbols",
         F.col("lines.n_dup_lines").alias("n_dup_lines"),
         F.col("by_words.n_repeat_words").alias("n_repeat_words"),

@@ -75,9 +75,25 @@ def spark_hash(*parts):
     return h - (1 << 64) if h >> 63 else h
 
 
+def rolled(words, k):
+    """The hashes of runs of k words, each from the one before: turned by a bit, without the word that leaves, with the one that comes."""
+
+    def turn(h, n):
+        n %= 64
+        return (h << n | h >> 64 - n) & (1 << 64) - 1
+
+    own, out, h = [spark_hash(x) & (1 << 64) - 1 for x in words], [], 0
+    for i, x in enumerate(own):
+        h = turn(h, 1) ^ x ^ (turn(own[i - k], k) if i >= k else 0)
+        if i >= k - 1:
+            mixed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed=42)
+            out.append(mixed - (1 << 64) if mixed >> 63 else mixed)
+    return out
+
+
 def marks(text, k=fingerprints.K, w=fingerprints.WINDOW):
     x = re.findall(r"[^\x20\x09-\x0D]+", text)
-    h = [spark_hash(*x[i : i + k]) for i in range(len(x) - k + 1)] if len(x) >= k else [spark_hash(" ".join(x))] * bool(x)
+    h = rolled(x, k) if len(x) >= k else [spark_hash(" ".join(x))] * bool(x)
     places = []
     for j in range(max(1, len(h) - w + 1) if h else 0):
         part = h[j : j + w]
@@ -111,6 +127,14 @@ def test_winnowing(spark, awkward, texts):
     assert sorted(mine, key=repr) == sorted(want, key=repr)
 
 
+def test_other_runs_and_windows(spark, texts):
+    rows = [(k, t) for k, (_, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i long, text string")
+    for k, w in ((1, 1), (3, 2), (5, 7)):
+        got = {r.i: [(m.hash, m.position) for m in r.m] for r in df.select("i", fingerprints.winnow(F.col("text"), k, w).alias("m")).collect()}
+        assert got == {i: marks(t or "", k, w) for i, t in rows}
+
+
 def test_shared_runs_are_found(spark):
     """A shared run of WINDOW + K - 1 words always yields a common mark; positions are kept."""
     shared = "one two three four five"

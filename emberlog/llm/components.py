@@ -20,14 +20,20 @@ from emberlog.llm import shared
 DEGREE, HUBS = 4096, 10_000
 
 
-def with_least(pairs: DataFrame, extra: bool) -> DataFrame:
+def hubs_of(both: DataFrame) -> DataFrame | None:
+    """(u, parts) of nodes of many edges; none if there are none. One aggregate, of which HUBS rows at most are collected."""
+    counts = both.groupBy("u").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > DEGREE)
+    found = [(r["u"], -(-r["degree"] // DEGREE)) for r in counts.orderBy(F.col("degree").desc(), "u").limit(HUBS).collect()]
+    return both.sparkSession.createDataFrame(found, "u long, parts int") if found else None
+
+
+def with_least(pairs: DataFrame, extra: bool, hubs: DataFrame | None) -> DataFrame:
     """Each pair (u, v) with ``m``, the least v of its u (by ``extra`` u itself counts too)."""
-    found = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
-    if extra:
-        found = found.withColumn("m", F.least("m", "u"))
-    hubs = found.where(F.col("degree") > DEGREE).orderBy(F.col("degree").desc(), "u").limit(HUBS).select("u", F.ceil(F.col("degree") / DEGREE).cast("int").alias("parts"))
-    hubs = F.broadcast(hubs)  # HUBS rows at most
-    one = F.coalesce("parts", F.lit(1))
+    least = F.least(F.min("v"), F.col("u")) if extra else F.min("v")
+    found = pairs.groupBy("u").agg(least.alias("m"))
+    if hubs is None:
+        return pairs.join(found, "u").select("u", "v", "m")
+    hubs, one = F.broadcast(hubs), F.coalesce("parts", F.lit(1))  # HUBS rows at most
     dealt = pairs.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), one).cast("int").alias("part"))
     copied = found.join(hubs, "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
     return dealt.join(copied, ["u", "part"]).select("u", "v", "m")
@@ -43,8 +49,9 @@ def components(edges: DataFrame) -> DataFrame:
     def star(pairs: DataFrame) -> DataFrame:
         """Both stars: pairs (u, v) with u > v."""
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, True).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        small = with_least(large, False).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        hubs = hubs_of(both)  # a node has no more edges in the second star
+        large = with_least(both, True, hubs).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        small = with_least(large, False, hubs).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         return small.where("u > v").distinct()
 
     def state(pairs: DataFrame):

@@ -37,8 +37,10 @@ from emberlog.llm.shingles import shingle_sets
 from emberlog.llm.text import Codes, blocks, column, mix
 
 K, SEED = 64, 20240229
-#: Largest posting list or cluster that one task takes whole; of larger ones so many pivots and rows meet in a task.
+#: Largest posting list or cluster that one task takes whole; of larger ones so many pivots and so many rows meet in a task.
 GROUP, TILE = 2048, 1024
+#: Pivots of a large group in the first round, and how many times more each next one has.
+PIVOTS, GROWTH = 32, 8
 
 
 def matches_needed(threshold: float, k: int = K, miss: float = 1e-5) -> int:
@@ -193,7 +195,8 @@ def _in_rounds(members: DataFrame, payload: Callable[[DataFrame], DataFrame], si
 
     Of two rows in different trees one lies outside the group's largest tree. So pivots are drawn from there; each is
     compared with all rows of its group that are in other trees, and then done. A group is finished when
-    none is left. Copies of one text need one round, as its first pivots join all; rounds draw twice as many pivots each time.
+    none is left. Near copies of one text need one round or two, as a few pivots join them all; a group whose rows stay apart
+    gets GROWTH times as many pivots each round, so there are few rounds whatever its size.
     """
     spark = members.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -228,11 +231,11 @@ def _in_rounds(members: DataFrame, payload: Callable[[DataFrame], DataFrame], si
         groups = by_tree.groupBy("grp").agg(F.sum("n").alias("members"), F.max_by("tree", largest).alias("main"), (F.sum("open") - F.max_by("open", largest)).alias("open")).where("open > 0")
         if not groups.limit(1).count():
             break
-        wanted = TILE << min(number, 20)
+        wanted = PIVOTS * GROWTH ** min(number, 10)
         rows = placed.join(groups, "grp")
-        chance = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(1 << 20)) < F.ceil(F.lit(wanted << 20) / F.col("open"))
+        chance = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(1 << 20)) < F.ceil(F.lit(wanted * (1 << 20)).cast("double") / F.col("open"))
         rows = rows.withColumn("pivot", ~F.col("done") & (F.col("tree") != F.col("main")) & chance)
-        tiles, blocks_ = F.ceil(F.least("open", F.lit(wanted)) / TILE).cast("int"), F.ceil(F.col("members") / TILE).cast("int")
+        tiles, blocks_ = F.ceil(F.least(F.col("open"), F.lit(wanted).cast("long")) / TILE).cast("int"), F.ceil(F.col("members") / TILE).cast("int")
         block, tile = F.pmod(F.xxhash64("id"), blocks_).cast("int"), F.pmod(F.xxhash64("id", F.lit("tile")), tiles).cast("int")
         nodes = rows.select("grp", "id", "tree", F.lit(False).alias("pivot"), block.alias("block"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"))
         pivots = rows.where("pivot").select("grp", "id", "tree", "pivot", tile.alias("tile"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("block"))

@@ -69,6 +69,7 @@ def test_large_groups_in_rounds(spark, monkeypatch):
     """Posting lists and clusters beyond one task give the same groups: near copies, chains of them, and texts that are alike but not linked."""
     monkeypatch.setattr(neardup, "GROUP", 8)
     monkeypatch.setattr(neardup, "TILE", 4)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
     rng = random.Random(2)
     base = [f"w{rng.randrange(500)}" for _ in range(80)]
     data = []

@@ -44,15 +44,27 @@ def match_nothing() -> Column:
 
 
 def has_value(schema: LogSchema, name: str, values: Iterable[str]) -> Column:
-    """Whether any occurrence of a field has one of the values; on a wide column a plain IN, which reaches the scan."""
+    """Whether any occurrence of a field has one of the values; null where a wide column is.
+
+    On a wide column it is a plain IN of the column's own type, which reaches the scan.
+    """
     values = list(values)
+    if not values:
+        return match_nothing()
+    if name in schema.fields and schema.types.get(name) == "long":  # text that is no number as Spark writes it equals none
+        numbers = [int(v) for v in values if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", v) and -(2**63) <= int(v) < 2**63]
+        return schema.fields[name].isin(*numbers) if numbers else match_nothing()
     if name in schema.fields:
-        return false_if_null(schema.fields[name].cast("string").isin(*values)) if values else match_nothing()
-    return F.exists(schema.values(name), lambda v: v.isin(*values)) if values else match_nothing()
+        return schema.fields[name].cast("string").isin(*values)
+    if schema.binary and schema.repeated is not None:  # bytes are compared as they are
+        return F.exists(schema.raw_values(name), lambda v: v.isin(*[x.encode() for x in values]))
+    return F.exists(schema.values(name), lambda v: v.isin(*values))
 
 
 def has_field(schema: LogSchema, name: str) -> Column:
-    return schema.value(name).isNotNull()
+    if name in schema.fields:
+        return schema.fields[name].isNotNull()
+    return F.exists(schema.repeated, lambda f: f["name"] == name) if schema.repeated is not None else match_nothing()
 
 
 @dataclass
@@ -142,6 +154,21 @@ class Filter:
 # Time. Three rules: both ends inclusive on effective time; half open; both ends inclusive on commit time.
 
 
+def stored_within(schema: LogSchema, after: int | None, before: int | None) -> Column:
+    """Both ends inclusive on the commit time, compared with the stored column where there is one, so that the scan sees it."""
+    if schema.stored is None:
+        return within(schema.realtime, after, before)
+    at = schema.stored
+    tests = [at.column >= at.literal(after)] if after is not None else []
+    return all_of(tests + ([at.column <= at.literal(before)] if before is not None else []))
+
+
+def effective_within(schema: LogSchema, after: int | None, before: int | None, half: bool = False) -> Column:
+    """Bounds on the effective time. It is never past the commit time, so the lower bound holds for that too and reaches the scan."""
+    test = (half_open if half else within)(schema.effective(), after, before)
+    return stored_within(schema, after, None) & test if after is not None else test
+
+
 def within(time: Column, after: int | None, before: int | None) -> Column:
     return all_of([time >= after] * (after is not None) + [time <= before] * (before is not None))
 
@@ -155,7 +182,7 @@ SLACK_USEC = 120_000_000
 
 def commit_guard(schema: LogSchema, after: int | None, before: int | None, slack: int = SLACK_USEC) -> Column:
     """Bounds on the commit time that every row in the window meets; unlike the effective time they reach the scan."""
-    return within(schema.realtime, after, None if before is None else before + slack)
+    return stored_within(schema, after, None if before is None else before + slack)
 
 
 def window(schema: LogSchema, after: int | None, before: int | None, slack: int = SLACK_USEC) -> Column:
@@ -241,7 +268,7 @@ def regex_payload(schema: LogSchema, pattern: str) -> Column:
     """A regular expression found in any ``FIELD=value``; case counts."""
     own = [false_if_null(F.concat(F.lit(f"{n}="), schema.value(n)).rlike(pattern)) for n in schema.fields]
     if schema.repeated is not None:
-        own.append(F.exists(schema.repeated, lambda f: F.concat(f["name"], F.lit("="), f["value"].cast("string")).rlike(pattern)))
+        own.append(F.exists(schema.repeated, lambda f: F.concat(f["name"], F.lit("="), schema.text(f["value"])).rlike(pattern)))
     return any_of(own)
 
 
@@ -285,7 +312,7 @@ def facility_list(option: str) -> list[str]:
 
 def identifiers(schema: LogSchema, wanted: list[str], excluded: list[str] = ()) -> Column:
     keep = has_value(schema, "SYSLOG_IDENTIFIER", wanted) if wanted else F.lit(True)
-    return keep & ~has_value(schema, "SYSLOG_IDENTIFIER", excluded) if excluded else keep
+    return keep & ~false_if_null(has_value(schema, "SYSLOG_IDENTIFIER", excluded)) if excluded else keep
 
 
 def mangle_unit(name: str) -> str:

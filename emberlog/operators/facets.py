@@ -32,10 +32,12 @@ def facets(
     occurrence. Each row is read once: it is exploded to one element for each
     facet whose other filters it meets, and counts are added up before the shuffle.
     """
-    tests = {n: false_if_null(c) for n, c in filters(schema, selected or {}).items()}
+    wanted = filters(schema, selected or {})
+    own = {n for n in wanted if exclude_own and n in names}  # some facet leaves these out; the others hold for all and come first
+    tests = {n: false_if_null(wanted[n]) for n in wanted if n in own}
     elements = []
     for n in names:
-        ok = all_of(c for m, c in tests.items() if not (exclude_own and m == n))
+        ok = all_of(c for m, c in tests.items() if m != n)
         if all_values:
             values = F.when(F.size(schema.values(n)) > 0, schema.values(n)).otherwise(F.array(F.lit(ABSENT)))
             elements.append(F.when(ok, F.transform(values, _pair(n))).otherwise(F.array().cast("array<struct<field:string,value:string>>")))
@@ -43,6 +45,8 @@ def facets(
             elements.append(F.when(ok, F.struct(F.lit(n).alias("field"), F.coalesce(schema.value(n), F.lit(ABSENT)).alias("value"))))
     found = F.flatten(F.array(*elements)) if all_values else F.array_compact(F.array(*elements))
     rows = df if base is None else df.where(base)
+    for c in (wanted[n] for n in wanted if n not in own):
+        rows = rows.where(c)
     return rows.select(F.explode(found).alias("f")).groupBy(F.col("f.field").alias("field"), F.col("f.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -79,12 +83,15 @@ def truncated(value: Column, limit: int = MAX_VALUE_BYTES) -> Column:
     return F.when(F.octet_length(value) <= limit, value).otherwise(F.make_valid_utf8(F.substring(raw, 1, limit).cast("string")))
 
 
-def presented(counts: DataFrame) -> DataFrame:
+def presented(counts: DataFrame, most: int | None = None) -> DataFrame:
     """Facet options as shown: empty and absent values dropped, long ones cut and merged, and their order from 1.
 
-    PRIORITY is ordered by number, other facets by count downwards and value.
+    PRIORITY is ordered by number, other facets by count downwards and value. With ``most`` a facet has so many options
+    at most; Spark then keeps no more of each before it shuffles them.
     """
     shown = counts.where(~F.col("value").isin("", ABSENT)).groupBy("field", truncated(F.col("value")).alias("value")).agg(F.sum("n").alias("n"))
     number = F.when(F.col("field") == "PRIORITY", F.coalesce(F.col("value").try_cast("bigint"), F.lit(1 << 62)))
     order = Window.partitionBy("field").orderBy(number.asc_nulls_last(), F.when(F.col("field") == "PRIORITY", F.lit(0)).otherwise(-F.col("n")), "value")
-    return shown.withColumn("order", F.row_number().over(order).cast("long"))
+    ranked = shown.withColumn("order", F.row_number().over(order))
+    ranked = ranked if most is None else ranked.where(F.col("order") <= most)
+    return ranked.withColumn("order", F.col("order").cast("long"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.functions.predicates import false_if_null
+from emberlog.functions.predicates import effective_within, false_if_null
 from emberlog.schema import ABSENT, LogSchema
 
 #: Widths of a bucket in seconds, from one second to thirty days.
@@ -74,7 +74,7 @@ def histogram(df: DataFrame, schema: LogSchema, name: str, buckets: Buckets, con
 
     The spine is a range of at most 1001 rows and values are joined after aggregation.
     """
-    rows = df if condition is None else df.where(false_if_null(condition))
+    rows = df if condition is None else df.where(condition)
     counts = rows.groupBy(buckets.start_of(schema.effective()).alias("bucket_start"), F.coalesce(schema.value(name), F.lit(ABSENT)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     # the counts are needed twice; both uses read one exchange
     dense = counts.select("value").distinct().select("value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets.count - 1).cast("long"))).alias("at"))
@@ -88,7 +88,7 @@ def engine_histogram(df: DataFrame, schema: LogSchema, buckets: Buckets, conditi
     A row with null field and value has the bucket's totals; time is half open, as the index engine's.
     """
     end = buckets.start + buckets.width * buckets.count
-    inside = df.where((schema.effective() >= F.lit(buckets.start)) & (schema.effective() < F.lit(end)))
+    inside = df.where(effective_within(schema, buckets.start, end, half=True))
     none = F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"))
     pairs = F.array_compact(F.array(none, *[F.when(schema.value(n).isNotNull(), F.struct(F.lit(n).alias("field"), schema.value(n).alias("value"))) for n in names]))
     rows = inside.select(buckets.start_of(schema.effective()).alias("bucket_start"), false_if_null(condition).alias("ok"), F.explode(pairs).alias("f"))
@@ -105,8 +105,7 @@ def count_in_range(df: DataFrame, schema: LogSchema, start: int, end: int, width
     """(n) of rows of an aligned range [start, end) that meet a condition; None if the range isn't aligned to the width."""
     if start % width or end % width:
         return None
-    time = schema.effective()
-    return df.where((time >= start) & (time < end)).agg(F.count_if(false_if_null(condition)).alias("n"))
+    return df.where(effective_within(schema, start, end, half=True)).agg(F.count_if(false_if_null(condition)).alias("n"))
 
 
 def merged(parts: list[tuple[Buckets, DataFrame]]) -> tuple[Buckets, DataFrame]:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.schema import Stored
+
 #: Rows of a page unless asked otherwise, and least rows of one.
 DEFAULT_ROWS, LEAST_ROWS = 200, 2
 
@@ -61,17 +63,26 @@ def checked_anchor(anchor: int | None, backward: bool, after: int, before: int)
     return Anchor("realtime", anchor), backward
 
 
-def page(df: DataFrame, time: str, n: int, *, backward: bool = True, anchor: Anchor | None = None, exclusive: bool = True, ties: list[str] = ()) -> DataFrame:
+def page(df: DataFrame, time: str, n: int, *, backward: bool = True, anchor: Anchor | None = None, exclusive: bool = True, ties: list[str] = (), stored: Stored | None = None) -> DataFrame:
     """n rows from an anchor, and all rows tied with the last of them, in order of time and ties.
 
-    The n-th time is found by a top-k over the time column alone; the rows are
-    then taken by comparing with it, so wide rows are never sorted as a whole.
+    The n-th time is found first, by a top-k over the time column alone. The rows are
+    then taken by comparing with it as a literal, so wide rows are never sorted as a whole. Where the times are those of
+    ``stored``, both comparisons are made with that column and prune the scan.
     """
     at = F.col(time)
-    rows = df if anchor is None else df.where(anchor.condition(at, backward, exclusive))
+
+    def bounded(rows: DataFrame, usec: int, upper: bool, strict: bool) -> DataFrame:
+        value = F.lit(usec).cast("long") if stored is None else stored.literal(usec)
+        c = at if stored is None else stored.column
+        return rows.where((c < value if strict else c <= value) if upper else (c > value if strict else c >= value))
+
+    rows = df
+    if anchor is not None and anchor.time is not None:
+        rows = bounded(rows, anchor.time, backward, exclusive or not backward)
     first = rows.select(at.alias("_at")).orderBy(F.col("_at").desc() if backward else F.col("_at")).limit(max(n, 0))
-    bound = first.agg((F.min if backward else F.max)("_at").alias("_bound"))  # one row
-    kept = rows.join(F.broadcast(bound), at >= F.col("_bound") if backward else at <= F.col("_bound")).drop("_bound")
+    bound = first.agg((F.min if backward else F.max)("_at").alias("bound")).first()["bound"]
+    kept = rows.limit(0) if bound is None else bounded(rows, bound, not backward, False)
     return kept.orderBy(at.desc() if backward else at, *ties)
 
 
@@ -86,19 +97,19 @@ def page_counters(df: DataFrame, shown: DataFrame, time: str, *, backward: bool,
     return counts.join(F.broadcast(n)).select("matched", before.alias("before"), after.alias("after"))
 
 
-def keyset(keys: list[str], values: list, forward: bool = True) -> Column:
-    """Rows strictly after (or before) a position, by the order of keys; the filter on the first key reaches the scan."""
+def keyset(keys: list[str], values: list, forward: bool = True, stored: Stored | None = None) -> Column:
+    """Rows strictly after (or before) a position, by the order of keys; the filter on the first key reaches the scan, through ``stored`` where that key is read from it."""
     tie = F.lit(False)
     for k, v in reversed(list(zip(keys, values, strict=True))):
         c, v = F.col(k), F.lit(v)
         tie = (c > v if forward else c < v) | ((c == v) & tie)
-    first = F.col(keys[0]) >= F.lit(values[0]) if forward else F.col(keys[0]) <= F.lit(values[0])
-    return first & tie
+    own, value = (F.col(keys[0]), F.lit(values[0])) if stored is None else (stored.column, stored.literal(values[0]))
+    return (own >= value if forward else own <= value) & tie
 
 
-def next_page(df: DataFrame, keys: list[str], position: list | None, n: int, forward: bool = True) -> DataFrame:
+def next_page(df: DataFrame, keys: list[str], position: list | None, n: int, forward: bool = True, stored: Stored | None = None) -> DataFrame:
     """n rows after a position in the order of keys, which together identify a row."""
-    rows = df if position is None else df.where(keyset(keys, position, forward))
+    rows = df if position is None else df.where(keyset(keys, position, forward, stored))
     return rows.orderBy(*[F.col(k) if forward else F.col(k).desc() for k in keys]).limit(n)
 
 

@@ -9,7 +9,7 @@ from emberlog.functions import display
 from emberlog.functions import predicates as P
 from emberlog.operators import boots, facets, formats, histogram, lifecycle, listing, paging
 from emberlog.registry import register
-from emberlog.schema import LogSchema, micros
+from emberlog.schema import LogSchema, Stored, micros
 
 DAY = 86_400_000_000
 AFTER, BEFORE = 1_704_067_200_000_000 + 5 * DAY, 1_704_067_200_000_000 + 20 * DAY
@@ -19,11 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Fields of events that are stored columns.
+STORED = {"event_type": "string", "user_id": "long"}
+
+
 def events_schema() -> LogSchema:
     """Events as entries: the source time is some whole seconds before the commit; field k is absent on every seventh."""
     k = F.when(F.col("event_id") % 7 != 0, F.get_json_object("props", "$.k"))
     late = F.pmod(F.floor("value").cast("long"), F.lit(300)) * F.lit(1_000_000)
-    return LogSchema(micros("ts"), {"event_type": F.col("event_type"), "user_id": F.col("user_id"), "k": k}, micros("ts") - late, F.pmod("user_id", F.lit(5)).cast("string"), (F.col("event_id"),))
+    fields = {"event_type": F.col("event_type"), "user_id": F.col("user_id"), "k": k}
+    return LogSchema(micros("ts"), fields, micros("ts") - late, F.pmod("user_id", F.lit(5)).cast("string"), (F.col("event_id"),), types=STORED, stored=Stored(F.col("ts"), "timestamp_ntz"))
 
 
 #: The same columns in SQL.
@@ -48,7 +53,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("match_or_and", f"with {EV} select event_id, event_type, user_id from e where event_type in ('click', 'purchase') and k in ('3', '5', '7')")
 def match_or_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = P.Matches()
-    names = LogSchema(micros("ts"), {"EVENT_TYPE": F.col("event_type"), "K": events_schema().fields["k"]})
+    names = LogSchema(micros("ts"), {"EVENT_TYPE": F.col("event_type"), "K": events_schema().fields["k"]}, types={"EVENT_TYPE": "string"})
     for payload in ("EVENT_TYPE=click", "EVENT_TYPE=purchase", "K=3", "K=5", "K=7"):
         m.add(payload)
     return events(spark, sf_dir).where(m.condition(names)).select("event_id", "event_type", "user_id")
@@ -57,7 +62,7 @@ def match_or_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("match_disjunction", f"with {EV} select event_id, event_type from e where ((event_type = 'click' and k = '3') or user_id = 7) and k is not null")
 def match_disjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = events_schema()
-    names = LogSchema(own.realtime, {"EVENT_TYPE": F.col("event_type"), "USER": F.col("user_id"), "K": own.fields["k"]})
+    names = LogSchema(own.realtime, {"EVENT_TYPE": F.col("event_type"), "USER": F.col("user_id"), "K": own.fields["k"]}, types={"EVENT_TYPE": "string", "USER": "long"})
     m = P.Matches().add("EVENT_TYPE=click").add("K=3").disjunction().add("USER=7")
     return events(spark, sf_dir).where(m.condition(names) & P.Filter.exists("K").condition(names)).select("event_id", "event_type")
 
@@ -98,7 +103,7 @@ def commit_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("half_open_window", f"with {EV} select event_id from e where eff >= {AFTER} and eff < {BEFORE}")
 def half_open_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where(P.half_open(events_schema().effective(), AFTER, BEFORE)).select("event_id")
+    return events(spark, sf_dir).where(P.effective_within(events_schema(), AFTER, BEFORE, half=True)).select("event_id")
 
 
 # Text.
@@ -314,7 +319,11 @@ def boot_by_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(micros("l_shipdate").alias("rt"), "l_orderkey", "l_linenumber", F.pmod("l_suppkey", F.lit(3)).cast("string").alias("file"))
+    return table(spark, sf_dir, "lineitem").select(micros("l_shipdate").alias("rt"), "l_shipdate", "l_orderkey", "l_linenumber", F.pmod("l_suppkey", F.lit(3)).cast("string").alias("file"))
+
+
+def shipped() -> Stored:
+    return Stored(F.col("l_shipdate"), "timestamp_ntz")
 
 
 LINES = "lines as (select epoch_us(l_shipdate) as rt, l_orderkey, l_linenumber, (l_suppkey % 3)::varchar as file from lineitem)"
@@ -322,7 +331,7 @@ LINES = "lines as (select epoch_us(l_shipdate) as rt, l_orderkey, l_linenumber,
 
 @register("page_boundary", f"with {LINES} select rt, l_orderkey, l_linenumber from (select *, rank() over (order by rt desc) as r from lines) where r <= 20")
 def page_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paging.page(lines_of(spark, sf_dir), "rt", 20, ties=["l_orderkey", "l_linenumber"]).select("rt", "l_orderkey", "l_linenumber")
+    return paging.page(lines_of(spark, sf_dir), "rt", 20, ties=["l_orderkey", "l_linenumber"], stored=shipped()).select("rt", "l_orderkey", "l_linenumber")
 
 
 ANCHOR = 850_000_000_000_000
@@ -331,19 +340,19 @@ ANCHOR = 850_000_000_000_000
 @register("page_anchor", f"with {LINES} select 'backward' as direction, rt, l_orderkey, l_linenumber from (select *, rank() over (order by rt desc) as r from lines where rt < {ANCHOR}) where r <= 30 union all select 'forward', rt, l_orderkey, l_linenumber from (select *, rank() over (order by rt) as r from lines where rt > {ANCHOR}) where r <= 30")
 def page_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchor, df = paging.Anchor("realtime", ANCHOR), lines_of(spark, sf_dir)
-    parts = [paging.page(df, "rt", 30, backward=b, anchor=anchor).select(F.lit(d).alias("direction"), "rt", "l_orderkey", "l_linenumber") for d, b in (("backward", True), ("forward", False))]
+    parts = [paging.page(df, "rt", 30, backward=b, anchor=anchor, stored=shipped()).select(F.lit(d).alias("direction"), "rt", "l_orderkey", "l_linenumber") for d, b in (("backward", True), ("forward", False))]
     return parts[0].unionByName(parts[1])
 
 
 @register("page_counters", f"with {LINES}, m as (select *, rank() over (order by rt desc) as r from lines where rt < {ANCHOR}) select (select count(*) from m) as matched, (select count(*) from lines where rt >= {ANCHOR}) as before, (select count(*) from m where r > 30) as after")
 def page_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchor, df = paging.Anchor("realtime", ANCHOR), lines_of(spark, sf_dir)
-    return paging.page_counters(df, paging.page(df, "rt", 30, anchor=anchor), "rt", backward=True, anchor=anchor)
+    return paging.page_counters(df, paging.page(df, "rt", 30, anchor=anchor, stored=shipped()), "rt", backward=True, anchor=anchor)
 
 
 @register("page_pages", f"with {LINES} select l_orderkey, l_linenumber, rt from (select *, row_number() over (order by rt, l_orderkey, l_linenumber) as r from lines where (rt, l_orderkey, l_linenumber) > ({ANCHOR}, 100, 2)) where r <= 50")
 def page_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paging.next_page(lines_of(spark, sf_dir), ["rt", "l_orderkey", "l_linenumber"], [ANCHOR, 100, 2], 50).select("l_orderkey", "l_linenumber", "rt")
+    return paging.next_page(lines_of(spark, sf_dir), ["rt", "l_orderkey", "l_linenumber"], [ANCHOR, 100, 2], 50, stored=shipped()).select("l_orderkey", "l_linenumber", "rt")
 
 
 @register(
@@ -355,7 +364,7 @@ n as (select *, row_number() over (partition by file, run order by a) as i from
 select l_orderkey, l_linenumber, rt, min(rt + i) over (partition by file, run order by a rows unbounded preceding) - i as display_usec from n""",
 )
 def unique_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = paging.page(lines_of(spark, sf_dir), "rt", 40)
+    page = paging.page(lines_of(spark, sf_dir), "rt", 40, stored=shipped())
     return paging.unique_times(page, "rt", "file", ["file", "l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "rt", "display_usec")
 
 
@@ -374,22 +383,21 @@ def reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.head(events(spark, sf_dir), [F.col("ts").desc(), F.col("event_id").desc()], 40).select("event_id", "event_type")
 
 
-LAST = "l as (select event_id, epoch_us(ts) as rt, event_id * 10 as mono, (event_id // 7)::varchar as boot from events order by ts desc, event_id desc limit 200), o as (select *, lag(boot) over (order by event_id) as pb, lag(rt) over (order by event_id) as pr, lag(mono) over (order by event_id) as pm from l)"
+PRINTED = "l as (select event_id, epoch_us(ts) as rt, event_id * 10 as mono, (event_id // 7)::varchar as boot from events), o as (select *, lag(boot) over (order by event_id) as pb, lag(rt) over (order by event_id) as pr, lag(mono) over (order by event_id) as pm from l)"
 
 
-def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = paging.tail(events(spark, sf_dir), ["ts", "event_id"], 200)
-    return page.select("event_id", micros("ts").alias("rt"), (F.col("event_id") * 10).alias("mono"), F.floor(F.col("event_id") / 7).cast("string").alias("boot"))
+def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", micros("ts").alias("rt"), (F.col("event_id") * 10).alias("mono"), F.floor(F.col("event_id") / 7).cast("string").alias("boot"))
 
 
-@register("short_delta", f"with {LAST} select event_id, case when pb = boot then mono - pm else rt - pr end as delta_usec, case when pr is not null then pb <> boot end as other_boot from o")
+@register("short_delta", f"with {PRINTED} select event_id, case when pb = boot then mono - pm else rt - pr end as delta_usec, case when pr is not null then pb <> boot end as other_boot from o")
 def short_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.delta(last_events(spark, sf_dir), ["event_id"], "boot", "rt", "mono").select("event_id", "delta_usec", "other_boot")
+    return formats.delta(printed(spark, sf_dir), ["event_id"], "boot", "rt", "mono").select("event_id", "delta_usec", "other_boot")
 
 
-@register("boot_separator", f"with {LAST} select event_id, case when pb <> boot then '-- Boot ' || boot || ' --' end as separator from o")
+@register("boot_separator", f"with {PRINTED} select event_id, case when pb <> boot then '-- Boot ' || boot || ' --' end as separator from o")
 def boot_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boots.separators(last_events(spark, sf_dir), "boot", ["event_id"]).select("event_id", "separator")
+    return boots.separators(printed(spark, sf_dir), "boot", ["event_id"]).select("event_id", "separator")
 
 
 # Fields and values.

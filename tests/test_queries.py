@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog import registry
-from emberlog.operators import boots, formats
-from emberlog.plans import queries
-from emberlog.schema import micros
+from emberlog.functions import predicates as P
+from emberlog.plans import entry_queries, queries  # noqa: F401  register their queries
+from emberlog.schema import LogSchema
 from tests.oracle import same
 
 
@@ -13,18 +13,31 @@ def test_query_equals_sql(spark, data, name):
     same(spark, data, registry.QUERIES[name], registry.ORACLE_SQL[name])
 
 
-def test_deltas_and_separators_of_all_events(spark, data):
-    """Every row gets its delta and separator, with no task that takes the whole table."""
-    every = "with l as (select event_id, epoch_us(ts) as rt, event_id * 10 as mono, (event_id // 7)::varchar as boot from events), o as (select *, lag(boot) over w as pb, lag(rt) over w as pr, lag(mono) over w as pm from l window w as (order by event_id))"
+def test_deltas_and_separators_take_no_whole_table(spark, data):
+    """The rows before are found in buckets: no window is over all rows."""
+    for name in ("short_delta", "boot_separator"):
+        plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert all("_bucket" in line for line in plan.splitlines() if "windowspecdefinition" in line)
 
-    def rows(spark, path):
-        e = queries.events(spark, path)
-        return e.select("event_id", micros("ts").alias("rt"), (F.col("event_id") * 10).alias("mono"), F.floor(F.col("event_id") / 7).cast("string").alias("boot"))
 
-    def both(spark, path):
-        found = boots.separators(formats.delta(rows(spark, path), ["event_id"], "boot", "rt", "mono"), "boot", ["event_id"])
-        plan = found._jdf.queryExecution().optimizedPlan().toString()
-        assert all("_bucket" in line for line in plan.splitlines() if "windowspecdefinition" in line)
-        return found.select("event_id", "delta_usec", "other_boot", "separator")
+PUSHED = {
+    "match_or_and": ["In(event_type"], "index_filter": ["event_type,view", "user_id,3"], "time_window": ["GreaterThanOrEqual(ts", "LessThanOrEqual(ts"], "commit_guard": ["GreaterThanOrEqual(ts", "LessThanOrEqual(ts"],
+    "half_open_window": ["GreaterThanOrEqual(ts"], "count_in_range": ["GreaterThanOrEqual(ts"], "engine_histogram": ["GreaterThanOrEqual(ts"], "histogram_dense": ["GreaterThanOrEqual(ts", "LessThanOrEqual(ts"],
+    "facets_excl": ["GreaterThanOrEqual(ts", "LessThanOrEqual(ts"], "facets_single_filter": ["In(event_type"], "page_anchor": ["LessThan(l_shipdate", "GreaterThanOrEqual(l_shipdate"], "page_pages": ["GreaterThanOrEqual(l_shipdate"], "page_boundary": ["GreaterThanOrEqual(l_shipdate"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(PUSHED))
+def test_filters_reach_the_scan(spark, data, name):
+    plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    pushed = " ".join(line.split("PushedFilters")[1].split("ReadSchema")[0] for line in plan.splitlines() if "PushedFilters" in line)
+    for part in PUSHED[name]:
+        assert part in pushed, pushed
+
 
-    same(spark, data, both, every + " select event_id, case when pb = boot then mono - pm else rt - pr end as delta_usec, case when pr is not null then pb <> boot end as other_boot, case when pb <> boot then '-- Boot ' || boot || ' --' end as separator from o")
+def test_numbers_match_as_they_are_written(spark):
+    """Text that isn't a whole number as Spark writes it equals no value of a stored number."""
+    df = spark.createDataFrame([(1,), (12,), (None,)], "n long")
+    schema = LogSchema(F.lit(0), {"n": F.col("n")}, types={"n": "long"})
+    for values, want in ((["1"], [1]), (["01", "1.0", " 1", "x", ""], []), (["12", "9" * 30], [12]), ([], [])):
+        assert [r.n for r in df.where(P.has_value(schema, "n", values)).collect()] == want

@@ -45,11 +45,11 @@ def label(schema: LogSchema, hostname: bool = True, unit: bool = False) -> Colum
 
 def blob(value: Column) -> Column:
     """A value as text, or its size where it can't be printed."""
-    return F.when(printable(value), value.cast("string")).otherwise(F.format_string("[%dB blob data]", F.octet_length(value)))
+    return F.when(printable(value), value.cast("string")).when(value.isNotNull(), F.format_string("[%dB blob data]", F.octet_length(value)))
 
 
 def short(schema: LogSchema, mode: str, realtime: Column, monotonic: Column, hostname: bool = True) -> Column:
-    message = F.coalesce(blob(schema.value("MESSAGE")), F.lit(""))
+    message = F.coalesce(blob(schema.raw_value("MESSAGE")), F.lit(""))
     return F.concat(stamp(mode, realtime, monotonic), F.lit(" "), label(schema, hostname, mode == "with-unit"), F.lit(": "), message)
 
 
@@ -87,34 +87,66 @@ def _json(name: str, show_all: bool):
 
 
 def json_entry(schema: LogSchema, names: list[str], meta: dict[str, Column], show_all: bool = False) -> Column:
-    """One JSON object: metadata first, then fields in order of name; a repeated field is an array, an absent one left out."""
+    """One JSON object: metadata first, then fields in order of name; a repeated field is an array, an absent one left out.
+
+    Where all are single columns, a row whose values can all be printed and are short is written as a whole.
+    """
+    slow = _json_by_field(schema, names, meta, show_all)
+    if any(n not in schema.fields for n in names):
+        return slow
+    own = {n: schema.value(n) for n in sorted(names)}
+    plain = printable(F.concat_ws("", *own.values()))
+    if not show_all:
+        plain = plain & ~_any_long(own)
+    return F.when(plain, F.to_json(F.struct(*[c.cast("string").alias(k) for k, c in (meta | own).items()]))).otherwise(slow)
+
+
+def _any_long(values: dict[str, Column]) -> Column:
+    out = F.lit(False)
+    for n, v in values.items():
+        out = out | F.coalesce(F.octet_length(v) + len(n) + 1 >= LONG_JSON, F.lit(False))
+    return out
+
+
+def _json_by_field(schema: LogSchema, names: list[str], meta: dict[str, Column], show_all: bool) -> Column:
     parts = [F.concat(F.lit(f'"{k}":'), F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)) for k, c in meta.items()]
     for n in sorted(names):
-        values = schema.values(n)
+        values = schema.raw_values(n)
         listed = F.transform(values, _json(n, show_all))
         one = F.when(F.size(values) == 1, F.get(listed, F.lit(0))).when(F.size(values) > 1, F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")))
         parts.append(F.concat(F.lit(f'"{n}":'), one))
     return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
 
 
-def json_fields(fields: Column, meta: dict[str, Column], show_all: bool = False) -> Column:
-    """As json_entry, with all of an array of fields (name, value as bytes)."""
+def json_fields(fields: Column, meta: dict[str, Column], show_all: bool = False, pretty: bool = False) -> Column:
+    """As json_entry, with all of an array of fields (name, value as bytes); by ``pretty`` with a line for each member and element."""
+    colon, within_list, inside = (" : ", ",\n\t\t", "\n\t\t") if pretty else (":", ",", "")
 
     def text_(c: Column) -> Column:
         return F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
     def one(name: Column) -> Column:
-        listed = F.transform(F.filter(fields, lambda f: f["name"] == name), lambda f: json_value(name, f["value"], show_all))
-        values = F.when(F.size(listed) == 1, F.get(listed, F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")))
-        return F.concat(text_(name), F.lit(":"), values)
-
-    parts = F.array_compact(F.array(*[F.concat(F.lit(f'"{k}":'), text_(c)) for k, c in meta.items()]))
+        def bytes_spread(text: Column, tabs: str) -> Column:  # an array of bytes has a line for each
+            inner = F.regexp_replace(F.regexp_replace(text, ",", f",\n{tabs}\t"), r"^\[(.*)", f"[\n{tabs}\t$1")
+            return F.when(text.startswith("["), F.regexp_replace(F.regexp_replace(inner, r"(?s)\]$", f"\n{tabs}]"), r"(?s)^\[\s*\]$", "[]")).otherwise(text)
+
+        values = F.filter(fields, lambda f: f["name"] == name)
+        listed = F.transform(values, lambda f: bytes_spread(json_value(name, f["value"], show_all), "\t\t") if pretty else json_value(name, f["value"], show_all))
+        single = json_value(name, F.get(values, F.lit(0))["value"], show_all)
+        single = bytes_spread(single, "\t") if pretty else single
+        several = F.concat(F.lit("[" + inside), F.array_join(listed, within_list), F.lit("\n\t]" if pretty else "]"))
+        return F.concat(text_(name), F.lit(colon), F.when(F.size(listed) == 1, single).otherwise(several))
+
+    parts = F.array_compact(F.array(*[F.concat(F.lit(f'"{k}"{colon}'), text_(c)) for k, c in meta.items()]))
     names = F.array_sort(F.array_distinct(F.transform(fields, lambda f: f["name"])))
-    return F.concat(F.lit("{"), F.array_join(F.concat(parts, F.transform(names, one)), ","), F.lit("}"))
+    begin, between, end = ("{\n\t", ",\n\t", "\n}") if pretty else ("{", ",", "}")
+    return F.concat(F.lit(begin), F.array_join(F.concat(parts, F.transform(names, one)), between), F.lit(end))
 
 
 def framed(json: Column, mode: str) -> Column:
-    """JSON as server-sent events or as a text sequence."""
+    """JSON as lines, server-sent events, a text sequence, or spread over lines."""
+    if mode == "json-pretty":
+        return F.concat(json, F.lit("\n"))
     if mode == "json-sse":
         return F.concat(F.lit("data: "), json, F.lit("\n\n"))
     if mode == "json-seq":
@@ -124,24 +156,40 @@ def framed(json: Column, mode: str) -> Column:
 
 def verbose(schema: LogSchema, names: list[str], head: Column) -> Column:
     """A headline and a line for each field; long values are cut."""
-    lines = [F.concat(F.lit(f"    {n}="), F.when(F.octet_length(schema.value(n)) >= LONG_VERBOSE, F.format_string("[%dB blob data]", F.octet_length(schema.value(n)))).otherwise(blob(schema.value(n)))) for n in sorted(names)]
+    lines = [F.transform(schema.raw_values(n), _verbose_line(F.lit(n))) for n in sorted(names)]
     return F.concat_ws("\n", head, *lines)
 
 
+def _verbose_line(name: Column):
+    def line(value: Column) -> Column:
+        long_ = F.octet_length(value) + F.octet_length(name) + 1 >= LONG_VERBOSE
+        return F.concat(F.lit("    "), name, F.lit("="), F.when(long_, F.format_string("[%dB blob data]", F.octet_length(value))).otherwise(blob(value)))
+
+    return line
+
+
+def cat(schema: LogSchema, names: list[str] | None = None) -> Column:
+    """The values of some fields, of MESSAGE unless others are named, on a line each, repeated ones too; bytes that are no text become replacement characters."""
+    return F.array_join(F.flatten(F.array(*[schema.values(n) for n in names or ["MESSAGE"]])), "\n")
+
+
 def verbose_fields(fields: Column, head: Column) -> Column:
     """As verbose, with all of an array of fields (name, value as bytes), repeated ones too."""
 
     def line(f: Column) -> Column:
-        shown = F.when(F.octet_length(f["value"]) >= LONG_VERBOSE, F.format_string("[%dB blob data]", F.octet_length(f["value"]))).otherwise(blob(f["value"]))
-        return F.concat(F.lit("    "), f["name"], F.lit("="), shown)
+        return _verbose_line(f["name"])(f["value"])
 
     ordered = F.array_sort(fields, lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
     return F.concat_ws("\n", head, F.transform(ordered, line))
 
 
 def export_text(schema: LogSchema, names: list[str], meta: dict[str, Column]) -> Column:
-    """An export record of text values: metadata, then fields in order of name, and an empty line."""
-    lines = [F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in meta.items()] + [F.concat(F.lit(f"{n}="), schema.value(n)) for n in sorted(names)]
+    """An export record of text values: metadata, then fields in order of name, every value of a repeated one, and an empty line."""
+
+    def line(n: str):
+        return lambda v: F.concat(F.lit(f"{n}="), v)
+
+    lines = [F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in meta.items()] + [line(n)(schema.value(n)) if n in schema.fields else F.transform(schema.values(n), line(n)) for n in sorted(names)]
     return F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"))
 
 

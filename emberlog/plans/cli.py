@@ -127,17 +127,17 @@ def render(rows: DataFrame, options: argparse.Namespace) -> DataFrame:
     cursor = paging.cursor(F.col("seqnum_id"), F.col("seqnum"), F.col("boot_id"), F.col("monotonic_usec"), F.col("realtime_usec"), F.col("xor_hash"))
     meta = {"__CURSOR": cursor, "__REALTIME_TIMESTAMP": F.col("realtime_usec"), "__MONOTONIC_TIMESTAMP": F.col("monotonic_usec"), "_BOOT_ID": F.col("boot_id")}
     if mode == "cat":
-        line = F.coalesce(s.value("MESSAGE"), F.lit(""))
+        line = formats.cat(s, options.output_fields.split(",") if options.output_fields else None)
     elif mode == "export":
         return formats.export_binary(rows.withColumn("fields", others).withColumn("cursor", cursor)).withColumnRenamed("record", "line")
     elif mode.startswith("json"):
-        line = formats.framed(formats.json_fields(others, meta, options.all), mode)
+        line = formats.framed(formats.json_fields(others, meta, options.all, mode == "json-pretty"), mode)
     elif mode == "verbose":
         line = formats.verbose_fields(fields, F.concat(formats.stamp("short-full", F.col("realtime_usec"), F.col("monotonic_usec")), F.lit(" ["), cursor, F.lit("]")))
     elif mode == "short-delta":
         rows = formats.delta(rows, KEYS, "boot_id", "realtime_usec", "monotonic_usec")
         change = F.coalesce(F.format_string("<%d.%06d>", F.floor(F.col("delta_usec") / 1_000_000), F.pmod("delta_usec", F.lit(1_000_000))), F.lit(""))
-        line = F.concat(formats.stamp("short-monotonic", F.col("realtime_usec"), F.col("monotonic_usec")), change, F.when(F.col("other_boot"), "*").otherwise(""), F.lit(" "), formats.label(s, not options.no_hostname), F.lit(": "), F.coalesce(s.value("MESSAGE"), F.lit("")))
+        line = F.concat(formats.stamp("short-monotonic", F.col("realtime_usec"), F.col("monotonic_usec")), change, F.when(F.col("other_boot"), "*").otherwise(""), F.lit(" "), formats.label(s, not options.no_hostname), F.lit(": "), F.coalesce(formats.blob(s.raw_value("MESSAGE")), F.lit("")))
     else:
         line = formats.short(s, mode, F.col("realtime_usec"), F.col("monotonic_usec"), not options.no_hostname)
     if mode in TEXT_MODES:

@@ -1,13 +1,13 @@
 """Sampled exploration: exact by default; within a budget otherwise, with what wasn't read labelled.
 
 The budget is dealt to (file, time slot) groups up front instead of being
-carried along one scan: each group's first rows are sampled, after that every
-k-th. ``matched = sampled + unsampled + estimated`` always holds.
+carried along one scan. A group within its share is sampled whole, of a larger one the rows whose
+hash falls below that share; so no rows are sorted. ``matched = sampled + unsampled + estimated`` always holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.histogram import Buckets
@@ -23,16 +23,17 @@ def wanted(budget: int, after: int | None, before: int | None, data_only: bool,
 
 
 def marked(df: DataFrame, schema: LogSchema, buckets: Buckets, *, budget: int = DEFAULT_BUDGET, files: int = 1, limit: int = 200) -> DataFrame:
-    """Adds ``sampled``: a group's first ``max(budget / 4 / (files x slots), limit)`` rows, then every k-th so that about half the budget is spread over the rest."""
+    """Adds ``sampled``: of each group ``max(budget / 4 / (files x slots), limit)`` rows and an equal share of half the budget, by a hash of time and order.
+
+    Costs one aggregate, of a row for each group, and a join with it.
+    """
     groups = max(1, files * buckets.count)
-    first = max(budget // 4 // groups, limit)
-    group = [F.coalesce(schema.file, F.lit("")) if schema.file is not None else F.lit(""), buckets.index(schema.effective())]
-    own = Window.partitionBy(*group)
-    place = F.row_number().over(own.orderBy(schema.effective(), *schema.order))
-    rest = F.greatest(F.count(F.lit(1)).over(own) - first, F.lit(0))
-    share = max(1, budget // 2 // groups)
-    step = F.greatest(F.ceil(rest / share), F.lit(1))
-    return df.withColumn("_place", place).withColumn("_step", step).withColumn("sampled", (F.col("_place") <= first) | (F.pmod(F.col("_place") - first, F.col("_step")) == 0)).drop("_place", "_step")
+    share = max(budget // 4 // groups, limit) + max(1, budget // 2 // groups)
+    rows = df.withColumn("_file", F.coalesce(schema.file, F.lit("")) if schema.file is not None else F.lit("")).withColumn("_slot", buckets.index(schema.effective()))
+    sizes = rows.groupBy("_file", "_slot").agg(F.count(F.lit(1)).alias("_members"))
+    place = F.pmod(F.xxhash64(schema.effective(), *schema.order), F.lit(1 << 30))
+    chosen = place < F.ceil(F.lit(float(share << 30)) / F.col("_members"))
+    return rows.join(sizes, ["_file", "_slot"]).withColumn("sampled", chosen).drop("_file", "_slot", "_members")
 
 
 def sampled_histogram(rows: DataFrame, schema: LogSchema, name: str, buckets: Buckets) -> DataFrame:

@@ -110,16 +110,22 @@ def source_type(path: Column) -> Column:
     return kind.bitwiseOR(F.lit(ALL))
 
 
-def selected(files: DataFrame, wanted: list[str]) -> DataFrame:
-    """Files of any class or exact source named; ``all`` or nothing selects every file."""
+def source_condition(path: Column, wanted: list[str]) -> Column:
+    """Whether a file is of any class or exact source named; ``all`` or nothing selects every file."""
     mask = 0
     for w in wanted:
         mask |= CLASSES.get(w, 0)
     if not wanted or mask & ALL:
-        return files
+        return F.lit(True)
     names = [w for w in wanted if w not in CLASSES]
-    named_ = F.coalesce(F.col("source_name").isin(*names), F.lit(False)) if names else F.lit(False)
-    return files.where((F.col("source_type").bitwiseAND(F.lit(mask)) != 0) | named_)
+    kind = source_type(path).bitwiseAND(F.lit(mask)) != 0
+    own = F.regexp_extract(path, r"(?:user|remote)-([^/@]+?)(?:@[^/]*)?\.journal~?(?:\.zst)?$", 1)
+    return kind | own.isin(*names) if names else kind
+
+
+def selected(files: DataFrame, wanted: list[str]) -> DataFrame:
+    """Files of any class or exact source named; ``all`` or nothing selects every file."""
+    return files.where(source_condition(F.col("path"), wanted))
 
 
 def status_order() -> list[Column]:

@@ -84,10 +84,24 @@ def size(text: str) -> int:
 
 
 def human_size(n: int) -> str:
+    """A size by 1024 with at most one decimal, cut off; a decimal of zero is left out."""
+    unit = 0
+    while n >> 10 * (unit + 1) and unit < 6:
+        unit += 1
+    if not unit:
+        return f"{n}B"
+    # the decimal is taken from whole units of the next smaller kind; those of K are bytes
+    tenth = (n >> 10 * (unit - 1)) * 10 // 1024 % 10
+    return f"{n >> 10 * unit}" + f".{tenth}" * bool(tenth) + "BKMGTPE"[unit]
+
+
+def human_binary_size(n: int) -> str:
+    """A size in B, KiB, MiB, GiB or TiB with at most two decimals, rounded; zeros behind them are left out."""
     value, unit = float(n), 0
-    while value >= 1024 and unit < 6:
+    while value >= 1024 and unit < 4:
         value, unit = value / 1024, unit + 1
-    return f"{n}B" if not unit else f"{value:.1f}{'BKMGTPE'[unit]}"
+    name = ["B", "KiB", "MiB", "GiB", "TiB"][unit]
+    return f"{n}B" if not unit else f"{value:.2f}".rstrip("0").rstrip(".") + name
 
 
 def human_duration(seconds: int) -> str:

@@ -71,6 +71,35 @@ def rotation_ids(df: DataFrame, chain: list[str], order: list[str], entries: int
     return df.withColumn(name, F.floor((place - 1) / F.lit(entries)).cast("long"))
 
 
+def rotated(df: DataFrame, chain: str, order: list[str], rotation: Rotation, *, size: str | None = None, time: str | None = None, name: str = "file_no") -> DataFrame:
+    """The same under all limits of a rotation: a file that holds ``entries``, would grow past ``size`` or is ``duration_usec`` old is closed before the next entry.
+
+    Where a file ends depends on where the one before ended, so each chain is gone through in order, in a sorted
+    partition with a constant state; chains are dealt over the partitions.
+    """
+    columns, kinds = df.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, number, held, grown, began = object(), 0, 0, 0, 0
+        for batch in batches:
+            sizes = batch[size] if size is not None else [0] * len(batch)
+            times = batch[time] if time is not None else [0] * len(batch)
+            out = []
+            for key, more, at in zip(batch[chain], sizes, times, strict=True):
+                if key != last:
+                    last, number, held, grown, began = key, 0, 0, 0, at
+                full = rotation.entries is not None and held >= rotation.entries
+                full |= rotation.size is not None and held > 0 and grown + more > rotation.size
+                full |= rotation.duration_usec is not None and at - began >= rotation.duration_usec
+                if full:
+                    number, held, grown, began = number + 1, 0, 0, at
+                held, grown = held + 1, grown + more
+                out.append(number)
+            yield batch.assign(**{name: out})
+
+    return df.repartition(chain).sortWithinPartitions(chain, *order).mapInPandas(run, f"{kinds}, {name} long").select(*columns, name)
+
+
 def retention_plan(files: DataFrame, chain: list[str], order: list[str], *, count: int | None = None, size: int | None = None, oldest: int | None = None) -> DataFrame:
     """Files with ``action`` keep or delete and the first limit broken: count, then size, then age.
 
@@ -141,27 +170,44 @@ def corpus_digest(entries: DataFrame) -> DataFrame:
     )
 
 
+def epoch_keys(key: bytes, epochs: list[int]) -> dict[int, bytes]:
+    """The keys of some epochs, each a hash of the one before, stepped once from the secret."""
+    wanted, out, own = set(epochs), {}, key
+    for k in range(max(wanted, default=-1) + 1):
+        own = hashlib.sha256(b"next" + own).digest()
+        if k in wanted:
+            out[k] = own
+    return out
+
+
 def sealed(entries: DataFrame, start_usec: int, interval_usec: int, key: bytes) -> DataFrame:
     """(source_file, epoch, entries, tag): an HMAC-SHA256 over the entries of each epoch, keyed forward from a secret.
 
-    The key of an epoch is a hash of the one before, so a key that is lost tells nothing of earlier epochs.
+    The key of an epoch is a hash of the one before, so a key that is lost tells nothing of earlier epochs. Epochs with
+    entries are collected, which are few beside entries.
     """
     epoch = F.floor((F.col("realtime_usec") - start_usec) / F.lit(interval_usec)).cast("long")
     line = F.sha2(F.concat_ws("|", "seqnum", "realtime_usec", F.to_json("fields")), 256)
+    lines = entries.select("source_file", epoch.alias("epoch"), "seqnum", line.alias("line"))
+    keys = epoch_keys(key, [r["epoch"] for r in lines.select("epoch").distinct().collect()])
 
     def tag(batch: pd.DataFrame) -> pd.DataFrame:
-        own = key
-        for _ in range(int(batch["epoch"].iloc[0]) + 1):
-            own = hashlib.sha256(b"next" + own).digest()
-        mac = hmac.new(own, digestmod=hashlib.sha256)
+        mac = hmac.new(keys[int(batch["epoch"].iloc[0])], digestmod=hashlib.sha256)
         for x in batch.sort_values(["seqnum", "line"])["line"]:
             mac.update(x.encode())
         return pd.DataFrame({"source_file": [batch["source_file"].iloc[0]], "epoch": [batch["epoch"].iloc[0]], "entries": [len(batch)], "tag": [mac.hexdigest()]})
 
-    lines = entries.select("source_file", epoch.alias("epoch"), "seqnum", line.alias("line"))
     return lines.groupBy("source_file", "epoch").applyInPandas(tag, "source_file string, epoch long, entries long, tag string")
 
 
+def verify_seals(entries: DataFrame, tags: DataFrame, start_usec: int, interval_usec: int, key: bytes) -> DataFrame:
+    """(source_file, epoch, status) of every epoch that has entries or a tag: ok, changed, unsealed (no tag) or lost (no entries)."""
+    now = sealed(entries, start_usec, interval_usec, key).select("source_file", "epoch", F.col("tag").alias("_now"))
+    both = now.join(tags.select("source_file", "epoch", "tag"), ["source_file", "epoch"], "full")
+    status = F.when(F.col("tag").isNull(), "unsealed").when(F.col("_now").isNull(), "lost").when(F.col("tag") == F.col("_now"), "ok").otherwise("changed")
+    return both.select("source_file", "epoch", status.alias("status"))
+
+
 def flattened(objects: Iterator[dict]) -> Iterator[list[tuple[str, str]]]:
     """JSON objects as fields: keys of inner objects joined by a dot, arrays as repeated fields."""
 

@@ -1,5 +1,7 @@
 """Small tables whose results are known."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +224,38 @@ def test_seals_change_with_content(spark):
     assert set(tags) == {0, 2} and tags[0] == other[0] and tags[2] != other[2]
 
 
+def test_seals_are_verified(spark):
+    df = spark.createDataFrame([entry([("A", str(k))], 5 + 10 * k, k + 1) for k in range(4)], ENTRIES)
+    tags = lifecycle.sealed(df, 0, 10, b"k").where("epoch <> 3")
+    now = df.where("seqnum < 4 and seqnum <> 1").unionByName(spark.createDataFrame([entry([("A", "x")], 6, 1), entry([("A", "9")], 35, 9)], ENTRIES))
+    got = {r.epoch: r.status for r in lifecycle.verify_seals(now.where("seqnum <> 3"), tags, 0, 10, b"k").collect()}
+    assert got == {0: "changed", 1: "ok", 2: "lost", 3: "unsealed"}
+
+
+def test_rotation_by_all_limits(spark):
+    """Against a plain walk along each chain."""
+    rng = random.Random(3)
+    data = [(c, k, rng.randrange(1, 40), k * 10 + rng.randrange(10)) for c in "abc" for k in range(80)]
+    df = spark.createDataFrame(data, "chain string, i long, size long, t long").repartition(3)
+    limits = lifecycle.Rotation(entries=9, size=150, duration_usec=70)
+    want = {}
+    for c in "abc":
+        no, file = 0, []
+        for _, i, size, t in sorted(x for x in data if x[0] == c):
+            if file and (len(file) >= 9 or sum(s for s, _ in file) + size > 150 or t - file[0][1] >= 70):
+                no, file = no + 1, []
+            file.append((size, t))
+            want[c, i] = no
+    assert {(r.chain, r.i): r.file_no for r in lifecycle.rotated(df, "chain", ["i"], limits, size="size", time="t").collect()} == want
+
+
+def test_sizes_as_text():
+    from emberlog.functions.timeparse import human_binary_size, human_size
+
+    assert [human_size(n) for n in (12, 1024, 1536, 1024**2 + 100 * 1024, 5 * 1024**3 - 1)] == ["12B", "1K", "1.5K", "1M", "4.9G"]
+    assert [human_binary_size(n) for n in (12, 1024, 1536, 1024**3 + 1024**2 * 13, 1024**5)] == ["12B", "1KiB", "1.5KiB", "1.01GiB", "1024TiB"]
+
+
 def test_sampling_keeps_the_total(spark):
     df = rows(spark, *[(k * 1000, "a", "3") for k in range(5000)])
     b = Buckets.explorer(0, 5_000_000)
@@ -244,4 +278,58 @@ def test_request_round_trip(spark):
     page2 = request.respond(df, S, raw | {"anchor": out["data"][-1][0], "data_only": True}, columns=["service"], now=1_800_000_000)
     assert page2["data"][0][0] == out["data"][-1][0] - 1_000_000 and "facets" not in page2
     assert request.respond(df, S, raw | {"if_modified_since": base + 10**9}, columns=[], now=1_800_000_000)["status"] == 304
-    assert request.respond(df, S, {"info": True}, columns=[])["status"] == 200
+    info = request.respond(df, S, {"info": True}, columns=[])
+    assert info["status"] == 200 and "sampling" in info["accepted_params"] and info["pagination"]["key"] == "anchor"
+
+
+def raw_request(**more):
+    return {"after": 1_700_000_000, "before": 1_700_000_100, "last": 5, "facets": ["SERVICE"], "histogram": "SERVICE"} | more
+
+
+def journal(spark, n=5_000, step=1_000):
+    base = 1_700_000_000_000_000
+    return rows(spark, *[(base + k * step, "even" if k % 2 == 0 else "odd", "6") for k in range(n)])
+
+
+def test_keys_of_data_only_and_delta(spark):
+    df = journal(spark, 10)
+    parts = ("facets", "histogram", "items")
+    for more, want in (({}, parts), ({"delta": True}, parts), ({"data_only": True, "delta": True}, [f"{p}_delta" for p in parts]), ({"data_only": True}, [])):
+        out = request.respond(df, S, raw_request(**more), now=1_800_000_000)
+        assert [k for p in parts for k in (p, f"{p}_delta") if k in out] == list(want)
+        assert ("last_modified" in out) == ("data_only" not in more)
+    assert set(out["columns"]) >= {"timestamp", "rowOptions", "SERVICE", "PRIORITY"} and out["columns"]["SERVICE"]["filter"] == "facet"
+
+
+def test_sampled_request(spark):
+    out = request.respond(journal(spark), S, raw_request(sampling=20), now=1_800_000_000)
+    block, items = out["_sampling"], out["items"]
+    assert block["sampled"] > 0 and block["unsampled"] > 0 and block["sampled"] + block["unsampled"] == items["evaluated"] == 5_000
+    assert out["message"]["status"] == "notice" and "unsampled" in out["message"]["title"]
+    bars = {}
+    for p in out["histogram"]["points"]:
+        bars[p["value"]] = bars.get(p["value"], 0) + p["n"]
+    assert bars["[unsampled]"] == block["unsampled"] and sum(bars.values()) == 5_000
+    assert "_sampling" not in request.respond(journal(spark, 50), S, raw_request(sampling=20, data_only=True), now=1_800_000_000)
+
+
+def test_progress_cancel_and_timeout(spark):
+    df, seen = journal(spark, 10), []
+    assert request.respond(df, S, raw_request(), now=1_800_000_000, progress=seen.append)["message"] == "OK" and len(seen) > 3
+    out = request.respond(df, S, raw_request(), now=1_800_000_000, progress=seen.clear, cancelled=lambda: True)
+    assert out == {"status": 499, "errorMessage": "Request cancelled."}
+    late = request.respond(df, S, raw_request(), now=1_800_000_000, timeout=0)
+    assert late["status"] == 200 and late["partial"] and late["message"] == {"title": "Query timed-out, incomplete data. ", "status": "warning"}
+
+
+def test_requested_sources(spark):
+    names = ["/var/log/journal/m/system.journal", "/var/log/journal/remote/remote-host1.journal", "/var/log/journal/m/user-1000@x.journal"]
+    df = spark.createDataFrame([(1_700_000_000_000_000 + k, f) for k, f in enumerate(names)], "rt long, f string")
+    s = LogSchema(F.col("rt"), {"F": F.col("f")}, file=F.col("f"))
+
+    def files(*wanted):
+        out = request.respond(df, s, raw_request(facets=["F"], histogram="F", selections={"__logs_sources": list(wanted)}), columns=["F"], now=1_800_000_000)
+        return sorted(names.index(r[2]) for r in out["data"])
+
+    assert files() == [0, 1, 2] == files("all") and files("all-remote-systems") == [1] and files("all-local-logs") == [0, 2]
+    assert files("host1") == [1] and files("all-local-system-logs", "1000") == [0, 2]

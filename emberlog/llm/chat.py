@@ -46,7 +46,9 @@ def format_chats(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
 
     Turns are ordered by turn, role and text, nulls first, and all of them
     count, repeated rows too. A null role or text is rendered as empty. Rows
-    with a null id form one conversation. n_copies: conversations with equal turns, itself included.
+    with a null id form one conversation. n_copies: conversations with equal turns, itself included. A conversation is
+    rendered in one task whatever its length, as its text is one value; so are all rows without an id. An empty table gives no rows. Further
+    columns are not read, whatever their names.
     """
     source = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     every = rolled(source)

@@ -3,40 +3,38 @@
 In a large star every node hands its larger neighbours to its least one; in a
 small star its smaller neighbours and itself. Edges shrink to stars around
 the least node of each component in a number of rounds that grows with the
-logarithm of the graph. Each round is written to the shared folder. Minima are
-pre-aggregated, and where they are joined back to the edges the rows of a hub
-are dealt over many tasks.
+logarithm of the graph. Each round is written to the shared folder. Edges meet
+at their nodes but for those of hubs, which stay where they are and get the hub's minimum.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm import shared
 
 
-#: Edges of a node that one task takes; nodes dealt out, at most. With E edges in all any other has 2 E / HUBS at most.
+#: Edges of a node that one task takes, and nodes of more edges that are looked up apart. With E edges in all any other node has 2 E / HUBS at most.
 DEGREE, HUBS = 4096, 10_000
 
 
 def hubs_of(both: DataFrame) -> DataFrame | None:
-    """(u, parts) of nodes of many edges; none if there are none. One aggregate, of which HUBS rows at most are collected."""
+    """(u) of nodes of many edges; none if there are none. One aggregate, of which HUBS rows at most are collected."""
     counts = both.groupBy("u").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > DEGREE)
-    found = [(r["u"], -(-r["degree"] // DEGREE)) for r in counts.orderBy(F.col("degree").desc(), "u").limit(HUBS).collect()]
-    return both.sparkSession.createDataFrame(found, "u long, parts int") if found else None
+    found = [(r["u"],) for r in counts.orderBy(F.col("degree").desc(), "u").limit(HUBS).collect()]
+    return F.broadcast(both.sparkSession.createDataFrame(found, "u long")) if found else None
 
 
-def with_least(pairs: DataFrame, extra: bool, hubs: DataFrame | None) -> DataFrame:
-    """Each pair (u, v) with ``m``, the least v of its u (by ``extra`` u itself counts too)."""
-    least = F.least(F.min("v"), F.col("u")) if extra else F.min("v")
-    found = pairs.groupBy("u").agg(least.alias("m"))
+def with_least(pairs: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Each pair (u, v) with ``m``, the least v of its u. Rows of hubs stay where they are: their minima, a row for each hub, come to them."""
+    own = F.min("v").over(Window.partitionBy("u"))
     if hubs is None:
-        return pairs.join(found, "u").select("u", "v", "m")
-    hubs, one = F.broadcast(hubs), F.coalesce("parts", F.lit(1))  # HUBS rows at most
-    dealt = pairs.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), one).cast("int").alias("part"))
-    copied = found.join(hubs, "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
-    return dealt.join(copied, ["u", "part"]).select("u", "v", "m")
+        return pairs.withColumn("m", own)
+    rest = pairs.join(hubs, "u", "left_anti").withColumn("m", own)
+    many = pairs.join(hubs, "u", "left_semi")
+    least = F.broadcast(many.groupBy("u").agg(F.min("v").alias("m")))  # HUBS rows at most
+    return rest.unionByName(many.join(least, "u").select("u", "v", "m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -46,12 +44,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
 
-    def star(pairs: DataFrame) -> DataFrame:
+    def star(pairs: DataFrame, n: int) -> DataFrame:
         """Both stars: pairs (u, v) with u > v."""
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hubs = hubs_of(both)  # a node has no more edges in the second star
-        large = with_least(both, True, hubs).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        small = with_least(large, False, hubs).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        # no node has more edges than there are; and none has more in the second star than in the first
+        hubs = hubs_of(both) if n > DEGREE else None
+        large = with_least(both, hubs).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u > v")
+        small = with_least(large, hubs).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         return small.where("u > v").distinct()
 
     def state(pairs: DataFrame):
@@ -60,7 +59,7 @@ def components(edges: DataFrame) -> DataFrame:
     now, path = shared.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     before = state(now)
     while before["n"]:
-        new, new_path = shared.written(star(now))
+        new, new_path = shared.written(star(now, before["n"]))
         after = state(new)
         shared.remove(spark, path)
         now, path = new, new_path

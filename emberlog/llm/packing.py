@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from emberlog.llm import shared, vocab
 from emberlog.llm.text import blocks, column
 
-#: Open windows a partition holds at most; beyond it the least filled are poured together.
+#: Open windows a partition holds at most, which bounds its memory (8 million ids); beyond it the least filled half are poured together.
 MAX_OPEN = 2048
 
 Piece = tuple[int, int, int]  # document (an index or row), start in it, length
@@ -124,7 +124,7 @@ class Packer:
         self.levels[:] = 0
 
 
-def pack_partition(documents: Iterator[tuple[object, np.ndarray]], size: int, first: int) -> Iterator[tuple[object, int, np.ndarray, int, int, int]]:
+def pack_partition(documents: Iterator[tuple[object, np.ndarray]], size: int, first: int, max_open: int = MAX_OPEN) -> Iterator[tuple[object, int, np.ndarray, int, int, int]]:
     """(document, start, ids of the piece, document's length, sequence, offset) for a stream of (document, ids)."""
     out: list = []
 
@@ -134,7 +134,7 @@ def pack_partition(documents: Iterator[tuple[object, np.ndarray]], size: int, fi
             out.append((document, start, ids[start : start + length], len(ids), sequence, offset))
             offset += length
 
-    packer = Packer(size, emit, first)
+    packer = Packer(size, emit, first, max_open)
     for document, ids in documents:
         packer.add((document, ids), len(ids))
         if out:
@@ -144,14 +144,18 @@ def pack_partition(documents: Iterator[tuple[object, np.ndarray]], size: int, fi
     yield from out
 
 
-def pack(docs: DataFrame, path: str, *, end_id: int = 2, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, end_id: int = 2, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, max_open: int = MAX_OPEN) -> DataFrame:
     """Packs every row of docs; one row for each piece of a document.
 
     Columns: the id, start, length, ids_crc32 (of the piece's ids as
     little-endian unsigned 32-bit), doc_tokens, sequence_id, offset and, by ``with_ids``, ids (array). A document is its codes by ``path`` and then ``end_id``, so an empty or null text
     is that id alone. Repeated rows are packed each. A sequence has at most
-    ``size`` ids; all are full but the last few of each partition, whose lengths are powers of two.
+    ``size`` ids; all are full but the last few of each partition, whose lengths are powers of two. Of levels that are
+    equally good the fullest is taken. While no more than ``max_open`` windows are open the rule alone decides; past that
+    the least filled are cut into each other, which leaves no gap and loses nothing. An empty table gives no rows; a very long text
+    is encoded whole. Columns apart from the two are not read, whatever their names.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, kind = vocab.word_encoder(path), []
 
@@ -176,7 +180,7 @@ def pack(docs: DataFrame, path: str, *, end_id: int = 2, size: int = 4096, id_co
             return pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
         rows, held = [], 0
-        for row in pack_partition(documents(), size, TaskContext.get().partitionId() << 33):
+        for row in pack_partition(documents(), size, TaskContext.get().partitionId() << 33, max_open):
             rows.append(row)
             held += len(row[2])
             if held > 1_000_000:

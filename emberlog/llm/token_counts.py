@@ -87,7 +87,8 @@ def frequent(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
 def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) of every row; a null text counts as empty, repeated rows are counted each.
 
-    An empty text has 0 tokens. Columns apart from the two are not read.
+    An empty text has 0 tokens, an empty table gives no rows. A very long text is counted whole, its pre-tokens
+    looked up at once. Columns apart from the two are not read, whatever their names.
     """
     shared.small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, id_col=id_col, text_col=text_col))

@@ -189,7 +189,7 @@ def gaps(model: Model, sentences: list[str], terms: tuple[str, ...] = IDENTITY_T
         for old, new in swapped(sentence, groups):
             (block,) = blocks(pa.array([re.sub(rf"\b{old}\b", new, sentence, flags=re.I)]))
             changes.append(abs(model.logits(block)[0] - before))
-    return {"mean": float(np.mean(changes)) if changes else 0.0, "largest": float(np.max(changes)) if changes else 0.0, "toxic": hits / max(1, len(sentences))}
+    return {"mean": float(np.mean(changes)) if changes else 0.0, "largest": float(np.max(changes)) if changes else 0.0, "toxic": float(hits) / max(1, len(sentences))}
 
 
 def neutral(terms: tuple[str, ...] = IDENTITY_TERMS) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import datetime, timedelta, timezone
 
 USEC = 1_000_000
@@ -149,3 +150,15 @@ def time_window(now: int, after: int | None, before: int | None) -> tuple[int, i
     if after == before:
         after = before - DEFAULT_WINDOW
     return to_usec(max(after, 0)), to_usec(max(before, 0), True)
+
+
+def id128(text: str) -> str:
+    """An id of 32 hexadecimal digits, with or without dashes at the usual places, in lower case; all zeros and any other text are an error."""
+    plain = text.replace("-", "") if re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", text) else text
+    if not re.fullmatch(r"[0-9a-fA-F]{32}", plain) or not int(plain, 16):
+        raise ValueError(f"not an id: {text!r}")
+    return plain.lower()
+
+
+def new_id128() -> str:
+    return uuid.uuid4().hex

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.schema import LogSchema
+from emberlog.schema import ABSENT, LogSchema
 
 
 def field_names(df: DataFrame, schema: LogSchema) -> DataFrame:
@@ -51,3 +51,22 @@ def process_name(schema: LogSchema) -> Column:
     """Container, else identifier, else command, with the process id in brackets (``[-]`` without one); ``-`` with no name."""
     name = F.coalesce(schema.value("CONTAINER_NAME"), schema.value("SYSLOG_IDENTIFIER"), schema.value("_COMM"))
     return F.when(name.isNull(), F.lit("-")).otherwise(F.concat(name, F.lit("["), F.coalesce(schema.value("_PID"), F.lit("-")), F.lit("]")))
+
+
+def from_payloads(raw: Column) -> Column:
+    """Raw payloads (an array of ``KEY=value`` bytes) as fields, cut at the first =; those without one, or without a key, are dropped."""
+
+    def field(p: Column) -> Column:
+        at = F.position(F.lit("3D"), F.regexp_replace(F.hex(p), "(..)", "$1 "))  # hexadecimal with a blank behind each byte
+        key = F.floor((at - 1) / 3).cast("int")
+        value = F.substring(p, key + 2, F.greatest(F.octet_length(p) - key - 1, F.lit(0)))
+        return F.when((at > 0) & (key > 0), F.struct(F.make_valid_utf8(F.substring(p, F.lit(1), key).cast("string")).alias("name"), value.alias("value")))
+
+    return F.array_compact(F.transform(raw, field))
+
+
+def as_table(rows: list, names: list[str], gap: str = "  ") -> str:
+    """Rows of a page as text, columns as wide as their longest value; an absent one is shown as -."""
+    lines = [names, *[[ABSENT if r[n] is None else str(r[n]).replace("\n", " ") for n in names] for r in rows]]
+    widths = [max(len(line[k]) for line in lines) for k in range(len(names))]
+    return "\n".join(gap.join(v.ljust(w) for v, w in zip(line, widths, strict=True)).rstrip() for line in lines) + "\n"

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import os
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import predicates as P
-from emberlog.functions.timeparse import timestamp
+from emberlog.functions.timeparse import id128, timestamp
 from emberlog.operators import boots, formats, paging
 from emberlog.plans.reader import KEYS
 from emberlog.schema import LogSchema, entries_schema
@@ -32,6 +33,8 @@ def parser() -> argparse.ArgumentParser:
     add("--user-unit", action="append", default=[])
     add("--uid", default="1000")
     add("--invocation")
+    add("-I", dest="invocation", action="store_const", const="0")
+    add("--cursor-file")
     add("-t", "--identifier", action="append", default=[])
     add("-T", "--exclude-identifier", action="append", default=[])
     add("-p", "--priority")
@@ -64,8 +67,6 @@ def condition(options: argparse.Namespace, schema: LogSchema) -> Column:
     units = [P.unit(schema, u) for u in options.unit] + [P.unit(schema, u, options.uid) for u in options.user_unit]
     if units:
         tests.append(P.any_of(units))
-    if options.invocation:
-        tests.append(P.invocation(schema, options.invocation.replace("-", "").lower()))
     excluded = options.exclude_identifier if options.output in TEXT_MODES else []
     tests.append(P.identifiers(schema, options.identifier, excluded))
     if options.priority:
@@ -74,7 +75,11 @@ def condition(options: argparse.Namespace, schema: LogSchema) -> Column:
         tests.append(P.has_value(schema, "SYSLOG_FACILITY", P.facility_list(options.facility)))
     if options.grep:
         tests.append(P.grep(schema, options.grep, options.case_sensitive))
-    for cursor, exclusive in ((options.cursor, False), (options.after_cursor, True)):
+    saved = None
+    if options.cursor_file and os.path.exists(options.cursor_file):
+        with open(options.cursor_file) as file:
+            saved = file.read().strip()
+    for cursor, exclusive in ((options.cursor, False), (options.after_cursor, True), (saved, True)):
         if cursor:
             tests.append(paging.from_cursor(paging.parse_cursor(cursor), exclusive))
     return P.all_of(tests)
@@ -100,6 +105,28 @@ def boot_condition(entries: DataFrame, option: str) -> Column:
     return F.col("boot_id") == found.boot_id
 
 
+def invocation_condition(entries: DataFrame, schema: LogSchema, option: str) -> Column:
+    """``ID`` or an offset: above 0 from the oldest, else from the newest; one out of range is an error."""
+    if not re.fullmatch(r"[+-]?\d{1,9}", option):
+        return P.invocation(schema, id128(option))
+    found = boots.boot_at(boots.invocations(entries, schema, F.col("realtime_usec")), int(option)).first()
+    if found is None:
+        raise ValueError(f"no such invocation: {option!r}")
+    return P.invocation(schema, found.invocation_id)
+
+
+def save_cursor(rows: DataFrame, options: argparse.Namespace) -> None:
+    """Writes the cursor of the last row to the cursor file, for the next run to go on behind it; without rows the file stays."""
+    last = rows.orderBy(*[F.col(k).desc() for k in KEYS]).limit(1).select(cursor_of().alias("cursor")).first()
+    if options.cursor_file and last is not None:
+        with open(options.cursor_file, "w") as file:
+            file.write(last.cursor + "\n")
+
+
+def cursor_of() -> Column:
+    return paging.cursor(F.col("seqnum_id"), F.col("seqnum"), F.col("boot_id"), F.col("monotonic_usec"), F.col("realtime_usec"), F.col("xor_hash"))
+
+
 def select(entries: DataFrame, argv: list[str]) -> tuple[DataFrame, argparse.Namespace]:
     """The rows of a command line, in the order of output."""
     options = parser().parse_args(argv)
@@ -109,8 +136,10 @@ def select(entries: DataFrame, argv: list[str]) -> tuple[DataFrame, argparse.Nam
     if options.grep and options.lines and not options.lines.startswith("+"):
         options.reverse = True
     rows = entries
-    if options.boot is not None and not options.invocation:
+    if options.boot is not None and options.invocation is None:
         rows = rows.where(boot_condition(entries, options.boot))
+    if options.invocation is not None:
+        rows = rows.where(invocation_condition(entries, schema, options.invocation))
     rows = rows.where(condition(options, schema))
     lines = options.lines or ("1000" if options.pager_end else "all")
     rows = paging.lines(rows, KEYS, lines)
@@ -124,7 +153,7 @@ def render(rows: DataFrame, options: argparse.Namespace) -> DataFrame:
     if options.output_fields:
         fields = F.filter(fields, lambda f: f["name"].isin(*options.output_fields.split(",")))
     others = F.filter(fields, lambda f: f["name"] != "_BOOT_ID")  # told by the metadata
-    cursor = paging.cursor(F.col("seqnum_id"), F.col("seqnum"), F.col("boot_id"), F.col("monotonic_usec"), F.col("realtime_usec"), F.col("xor_hash"))
+    cursor = cursor_of()
     meta = {"__CURSOR": cursor, "__REALTIME_TIMESTAMP": F.col("realtime_usec"), "__MONOTONIC_TIMESTAMP": F.col("monotonic_usec"), "_BOOT_ID": F.col("boot_id")}
     if mode == "cat":
         line = formats.cat(s, options.output_fields.split(",") if options.output_fields else None)

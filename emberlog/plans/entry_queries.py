@@ -13,6 +13,7 @@ from emberlog.plans.queries import AFTER, BEFORE, BUCKETS, DAY, bucket_sql, even
 from emberlog.plans.reader import Reader
 from emberlog.registry import register
 from emberlog.schema import entries_schema, micros, narrow, wide
+from emberlog.sources import catalog
 
 
 def md5(c: Column) -> Column:
@@ -81,6 +82,9 @@ command("cli_unit", ["-u", "u1"], "unit = 1")
 command("cli_unit_glob", ["-u", "u[12]*"], "unit in (1, 2)")
 command("cli_user_unit", ["--user-unit", "v3.service", "--uid", "1"], "unit = 3 and uid = 1")
 command("cli_invocation", ["--invocation", "c4ca4238a0b923820dcc509a6f75849b"], "invocation = md5('1')")
+LISTED = "(select user_id, row_number() over (order by min(rt), invocation) as a, count(*) over () as n from en group by user_id, invocation)"
+command("cli_invocation_first", ["--invocation", "1"], f"user_id = (select user_id from {LISTED} where a = 1)")
+command("cli_invocation_last", ["-I"], f"user_id = (select user_id from {LISTED} where a = n)")
 command("cli_dmesg", ["-k", "-m"], "transport = 'kernel'")
 command("cli_since_until", ["-S", f"@{AFTER // 10**6}", "-U", f"@{BEFORE // 10**6}"], f"rt between {AFTER} and {BEFORE}")
 command("cli_grep", ["-g", "CLICK.*k\": 3"], "message_ok and regexp_matches(message, 'CLICK.*k\": 3')")
@@ -187,6 +191,23 @@ def entry_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("seqnum", "PRIORITY", "SYSLOG_IDENTIFIER", F.hex(F.col("rest")["BLOB"][0]).alias("blob_hex"), F.size(F.col("rest")["TAG"]).alias("tags"))
 
 
+@register("raw_payloads", "select event_id, 'A' as name, hex(encode(event_type || '=' || user_id)) as value from events union all select event_id, 'BIN', 'FF3D00' from events where event_id % 2 = 0")
+def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads are cut at the first =; one without a key or without = is none."""
+    text = F.concat(F.lit("A="), "event_type", F.lit("="), "user_id").cast("binary")
+    raw = F.array(text, F.when(F.col("event_id") % 2 == 0, F.unhex(F.lit("42494E3DFF3D00"))), F.lit("=x").cast("binary"), F.lit("none").cast("binary"))
+    rows = events(spark, sf_dir).select("event_id", F.explode(listing.from_payloads(F.array_compact(raw))).alias("f"))
+    return rows.select("event_id", F.col("f.name").alias("name"), F.hex("f.value").alias("value"))
+
+
+@register("catalogue_changes", "select user_id::varchar as path, case when user_id % 4 = 0 then 'created' when user_id % 4 = 1 then 'deleted' else 'grown' end as event from events where user_id % 4 < 3 group by all")
+def catalogue_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("size_bytes")).select(F.col("user_id").cast("string").alias("path"), "size_bytes", F.col("user_id") % 4)
+    kind = files.columns[2]
+    before = files.where(F.col(kind) != 0).withColumn("size_bytes", F.when(F.col(kind) == 2, F.col("size_bytes") - 1).otherwise(F.col("size_bytes")))
+    return catalog.changes(before, files.where(F.col(kind) != 1))
+
+
 @register("entry_narrow", "select event_id, 'event_type=' || event_type || case when user_id > 5 then ',user=' || user_id else '' end as fields from events")
 def entry_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = narrow(events(spark, sf_dir).withColumn("user", F.when(F.col("user_id") > 5, F.col("user_id"))), ["event_type", "user"], ["event_id"])

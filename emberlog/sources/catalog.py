@@ -39,8 +39,8 @@ def explicit(paths: list[str]) -> list[str]:
 
 
 def discover(root: str) -> tuple[list[str], int]:
-    """Log files below a root, breadth first, and how many subdirectories couldn't be read. Links to directories seen before are skipped; an unreadable root is an error."""
-    todo, seen, found, failed = [(root, 0)], set(), [], 0
+    """Log files below a root, breadth first, and how many subdirectories couldn't be read. Links to directories and files seen before are skipped; an unreadable root is an error."""
+    todo, seen, files, found, failed = [(root, 0)], set(), set(), [], 0
     while todo and len(seen) < MAX_DIRECTORIES:
         directory, depth = todo.pop(0)
         real = os.path.realpath(directory)
@@ -58,11 +58,19 @@ def discover(root: str) -> tuple[list[str], int]:
             path = os.path.join(directory, name)
             if os.path.isdir(path):
                 todo.append((path, depth + 1))
-            elif is_log_file(name):
+            elif is_log_file(name) and (own := os.path.realpath(path)) not in files:
+                files.add(own)
                 found.append(path)
     return found, failed
 
 
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, event) between two catalogues (path, size_bytes): created, grown, truncated or deleted; files that stay as they are have none."""
+    old, new = before.select("path", F.col("size_bytes").alias("_old")), after.select("path", F.col("size_bytes").alias("_new"))
+    event = F.when(F.col("_old").isNull(), "created").when(F.col("_new").isNull(), "deleted").when(F.col("_new") > F.col("_old"), "grown").when(F.col("_new") < F.col("_old"), "truncated")
+    return old.join(new, "path", "full").select("path", event.alias("event")).where("event is not null")
+
+
 def catalogue(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, size_bytes, mtime_usec, and what names say) of local files."""
     rows = [(p, (s := os.stat(p)).st_size, s.st_mtime_ns // 1000) for p in paths]

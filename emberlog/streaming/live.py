@@ -21,8 +21,13 @@ def read(spark: SparkSession, path: str, schema, max_files: int | None = None) -
     return reader.parquet(path)
 
 
-def follow(rows: DataFrame, emit: Callable[[DataFrame, int], None], checkpoint: str, condition=None, interval: str = "1 second"):
-    """Calls emit for each batch of rows that meet a condition; the checkpoint takes the place of a cursor, so a restart goes on behind the last batch."""
+def follow(rows: DataFrame, emit: Callable[[DataFrame, int], None], checkpoint: str, condition=None, interval: str = "1 second", initial: DataFrame | None = None):
+    """Calls emit for each batch of rows that meet a condition; the checkpoint takes the place of a cursor, so a restart goes on behind the last batch.
+
+    ``initial``, such as the last lines of what is there, is emitted first, as batch -1.
+    """
+    if initial is not None:
+        emit(initial, -1)
     found = rows if condition is None else rows.where(condition)
     return found.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 

@@ -46,3 +46,17 @@ def test_windows():
     assert t.time_window(now, now + 10, now + 20) == ((now - 10) * USEC, now * USEC + 999_999)
     assert t.time_window(now, now, now - 50) == ((now - 50) * USEC, now * USEC + 999_999)
     assert t.to_usec(10**12) == 10**12
+
+
+def test_ids():
+    assert t.id128("0123456789ABCDEF0123456789abcdef") == t.id128("01234567-89AB-CDEF-0123-456789abcdef") == "0123456789abcdef0123456789abcdef"
+    assert t.id128(t.new_id128())
+    for bad in ("", "0" * 32, "x" * 32, "01234567-89ABCDEF-0123-456789abcdef0"):
+        with pytest.raises(ValueError):
+            t.id128(bad)
+
+
+def test_tables_as_text():
+    from emberlog.operators.listing import as_table
+
+    assert as_table([{"a": 1, "b": None}, {"a": "long\nline", "b": "x"}], ["a", "b"]) == "a          b\n1          -\nlong line  x\n"

@@ -91,3 +91,18 @@ def test_all_fields_are_shown(spark):
     assert record.endswith(b"_BOOT_ID=" + b"b" * 32 + b"\nBLOB\n\x02" + bytes(7) + b"\x00\xff\nMESSAGE=m\nOTHER=o\nX=1\nX=2\n\n")
     only = json.loads(line("-o", "json", "--output-fields", "X"))
     assert only["X"] == ["1", "2"] and "MESSAGE" not in only and b"MESSAGE" not in bytes(line("-o", "export", "--output-fields", "X"))
+
+
+def test_cursor_file(entries, tmp_path):
+    """A run goes on behind the last row that the run before has written down."""
+    path, total = str(tmp_path / "cursor"), entries.count()
+    rows, options = cli.select(entries, ["--cursor-file", path, "-n", "+2"])
+    assert rows.count() == 2
+    cli.save_cursor(rows, options)
+    rest, options = cli.select(entries, ["--cursor-file", path])
+    assert rest.count() == total - 2
+    cli.save_cursor(rest, options)
+    none, options = cli.select(entries, ["--cursor-file", path])
+    assert none.count() == 0
+    cli.save_cursor(none, options)
+    assert cli.select(entries, ["--cursor-file", path])[0].count() == 0

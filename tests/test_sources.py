@@ -95,3 +95,23 @@ def test_streams(spark, tmp_path):
 
 def test_entries_schema_is_stable():
     assert [f.name for f in ENTRIES][:3] == ["source_file", "machine_id", "boot_id"]
+
+
+def test_linked_files_are_found_once(tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "system.journal").write_bytes(b"")
+    (tmp_path / "b.journal").symlink_to(tmp_path / "a" / "system.journal")
+    (tmp_path / "again").symlink_to(tmp_path / "a")
+    found, failed = catalog.discover(str(tmp_path))
+    assert len(found) == 1 and failed == 0
+
+
+def test_follow_begins_with_what_is_there(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark.range(3).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+    rows = live.read(spark, str(tmp_path / "in"), "id long")
+    query = live.follow(rows, lambda df, n: seen.append((n, df.count())), str(tmp_path / "check"), initial=spark.range(2))
+    query.processAllAvailable()
+    query.stop()
+    assert seen[0] == (-1, 2) and (0, 3) in seen

@@ -44,8 +44,8 @@ def winnow(text: Column, k: int = K, w: int = WINDOW) -> Column:
         marked = F.transform(h, lambda v, i: F.struct(v.alias("hash"), (-i).alias("back")))
 
         def least(m: Column, width: int) -> Column:  # of each window, from the leasts of windows of half its width
-            if width == w:
-                return F.array_distinct(m)
+            if width == w:  # neighbouring windows may choose one place; places never go back
+                return F.filter(m, lambda v, i: F.when(i > 0, m[i - 1]["back"] != v["back"]).otherwise(F.lit(True)))
             step = min(width, w - width)
             return let(F.zip_with(shifted(m, 0, step), shifted(m, step, step), lambda a, b: F.least(a, b)), lambda x: least(x, width + step))
 

@@ -27,7 +27,7 @@ from emberlog.llm import shared
 from emberlog.llm.filters import BITS_PER_ID, MAX_BITS, IdFilter, id_filter, passing
 from emberlog.llm.fmindex import Index
 from emberlog.llm.neardup import whole_groups
-from emberlog.llm.text import Block, Codes, blocks, column, inner, mix, numbered, windows
+from emberlog.llm.text import Block, Codes, blocks, column, give_back, inner, mix, numbered, windows
 
 LENGTH, ANCHOR = 13, 4
 _LOW = np.uint64(0xFFFF)
@@ -253,7 +253,10 @@ def reports(found: DataFrame) -> DataFrame:
         told = np.flatnonzero(np.minimum.reduceat(lows, bounds[:-1]) < high)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts[told])]), pa.int32()), pa.array(lows[np.isin(of, told)]))
         taken = table.take(pa.array(told))
-        yield pa.RecordBatch.from_arrays([column(taken, "k1"), column(taken, "k2"), lists], ["k1", "k2", "lows"])
+        found = pa.RecordBatch.from_arrays([column(taken, "k1"), column(taken, "k2"), lists], ["k1", "k2", "lows"])
+        del index, text, codes, segment, starts, ends, block, at, of, lows
+        give_back()
+        yield found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, "route", lambda b: pc.binary_length(column(b, "content")).to_numpy() // 6, INDEX_WORDS):

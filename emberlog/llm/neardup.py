@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ from emberlog.llm.text import Codes, blocks, column, mix
 K, SEED = 64, 20240229
 #: Largest posting list or cluster that one task takes whole; of larger ones so many pivots and so many rows meet in a task.
 GROUP, TILE = 2048, 1024
+#: Bytes of sets or signatures that small groups are put together to, so that they are not gone through one by one.
+RUN_BYTES = 4_000_000
 #: Pivots of a large group in the first round, and how many times more each next one has.
 PIVOTS, GROWTH = 32, 8
 
@@ -159,6 +162,14 @@ def _edges(ids: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
 
 
+def payload_bytes(rows: pa.RecordBatch) -> np.ndarray:
+    """The size of each row's set or signature."""
+    payload = column(rows, "payload")
+    if pa.types.is_list(payload.type):
+        return pc.list_value_length(payload).to_numpy(zero_copy_only=False) * 4
+    return pc.binary_length(payload).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 Similar = Callable[[pa.Array], Callable[[int, np.ndarray], np.ndarray]]
 
 
@@ -175,7 +186,7 @@ def linked(members: DataFrame, payload: Callable[[DataFrame], DataFrame], simila
     small = members.where(F.col("members") <= GROUP).select("grp", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, "grp", lambda b: np.ones(len(b), np.int64), 4 * GROUP):
+        for rows in whole_groups(batches, "grp", payload_bytes, RUN_BYTES):
             ids, grp = column(rows, "id").to_numpy(), column(rows, "grp").to_numpy()
             order = np.lexsort((ids, grp))
             ids, grp, partners = ids[order], grp[order], similar(column(rows, "payload").take(pa.array(order)))

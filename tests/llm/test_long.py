@@ -1,13 +1,14 @@
 """Texts of 150,000 words and a conversation of 5,000 turns go through every operator whole."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from emberlog.llm import chat, fingerprints, language, neardup, packing, pieces, quality, substrings, token_counts, toxicity, vocab
 from tests.llm.conftest import words
-from tests.llm.test_duplicates import removed, shingles
+from tests.llm.test_duplicates import groups, removed
 from tests.llm.test_native import digest, marks
 
 
@@ -27,9 +28,9 @@ def long_docs(spark, long_texts):
 
 
 def test_duplicates(long_docs, long_texts):
-    got = {r.doc_id: r for r in neardup.near_duplicates(long_docs, n=2).collect()}
-    assert {i: r.n_shingles for i, r in got.items()} == {i: len(shingles(t, 2)) for i, t in long_texts}
-    assert {i for i, r in got.items() if r.kept} == {1, 2, 3, 4}
+    for n, kept in ((2, {1, 3, 4}), (5, {1, 2, 3, 4})):  # few words: nearly all pairs of them are in both texts
+        got = Counter(tuple(r) for r in neardup.near_duplicates(long_docs, n=n).select("doc_id", "n_shingles", "component_id", "kept").collect())
+        assert got == groups(long_texts, n) and {r[0] for r in got if r[3]} == kept
     rows = substrings.deduplicate(long_docs, with_text=False).collect()
     assert {tuple(r) for r in rows} == set(removed(long_texts))
 

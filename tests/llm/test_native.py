@@ -98,7 +98,7 @@ def marks(text, k=fingerprints.K, w=fingerprints.WINDOW):
     for j in range(max(1, len(h) - w + 1) if h else 0):
         part = h[j : j + w]
         at = j + max(i for i, v in enumerate(part) if v == min(part))
-        if at not in places:
+        if not places or places[-1] != at:  # they never go back
             places.append(at)
     return [(h[p], p) for p in places]
 

@@ -127,11 +127,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_components_of_hubs(spark, monkeypatch):
-    """The rows of a hub are dealt over tasks, with the same result."""
-    from emberlog.llm import components as module
-
-    monkeypatch.setattr(module, "DEGREE", 4)
+def test_components_of_hubs(spark):
     edges = [(500, k) for k in range(501, 560)] + [(k, 700) for k in range(600, 650)] + [(559, 650), (650, 649), (1, 2)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got.pop(1) == got.pop(2) == 1 and set(got.values()) == {500} and len(got) == 60 + 51 + 1

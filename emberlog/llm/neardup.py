@@ -211,11 +211,15 @@ def _in_rounds(members: DataFrame, payload: Callable[[DataFrame], DataFrame], si
     """
     spark = members.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    state, state_path = shared.written(members.withColumn("done", F.lit(False)))
+    state, state_path = shared.written(shared.few(members.withColumn("done", F.lit(False))))
+    before = [state_path]
     ids = state.select("id").distinct()
     texts, texts_path = shared.written(payload(ids).join(ids, "id", "left_semi"))
     keys = ["grp", "block", "tile"]
 
+    def tree_edges(trees: DataFrame) -> DataFrame:
+        return trees.select(F.col("id").alias("a"), F.col("component").alias("b"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, keys):
             ids, pivot = column(rows, "id").to_numpy(), column(rows, "pivot").to_numpy(zero_copy_only=False)
@@ -235,11 +239,14 @@ def _in_rounds(members: DataFrame, payload: Callable[[DataFrame], DataFrame], si
 
     for number in itertools.count():
         trees = components(edges)
-        placed, placed_path = shared.written(state.join(trees, "id", "left").select("grp", "id", "done", F.coalesce("component", "id").alias("tree")))
-        shared.remove(spark, state_path)
+        placed, placed_path = shared.written(shared.few(state.join(trees, "id", "left").select("grp", "id", "done", F.coalesce("component", "id").alias("tree"))))
+        for path in before:
+            shared.remove(spark, path)
         by_tree = placed.groupBy("grp", "tree").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("done")).alias("open"))
         largest = F.struct("n", "tree")
         groups = by_tree.groupBy("grp").agg(F.sum("n").alias("members"), F.max_by("tree", largest).alias("main"), (F.sum("open") - F.max_by("open", largest)).alias("open")).where("open > 0")
+        groups, groups_path = shared.written(shared.few(groups))
+        before = [placed_path, groups_path]
         if not groups.limit(1).count():
             break
         wanted = PIVOTS * GROWTH ** min(number, 10)
@@ -252,12 +259,11 @@ def _in_rounds(members: DataFrame, payload: Callable[[DataFrame], DataFrame], si
         pivots = rows.where("pivot").select("grp", "id", "tree", "pivot", tile.alias("tile"), F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("block"))
         dealt = nodes.unionByName(pivots).join(texts, "id").select(*keys, "id", "tree", "pivot", "payload")
         new, _ = shared.written(dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long"))
-        edges = edges.unionByName(new)
-        state, state_path = shared.written(rows.select("grp", "id", (F.col("done") | F.col("pivot")).alias("done")))
-        shared.remove(spark, placed_path)
-    shared.remove(spark, placed_path)
-    shared.remove(spark, texts_path)
-    return edges
+        edges = tree_edges(trees).unionByName(new)
+        state = rows.select("grp", "id", (F.col("done") | F.col("pivot")).alias("done"))
+    for path in [*before, texts_path]:
+        shared.remove(spark, path)
+    return tree_edges(trees)
 
 
 def match_edges(reps: DataFrame, need: int) -> DataFrame:

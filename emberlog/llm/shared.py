@@ -34,6 +34,11 @@ def written(df: DataFrame, keep: bool = False) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def few(df: DataFrame) -> DataFrame:
+    """The same rows in an eighth as many tasks as a shuffle has, for tables that are small beside texts: a file costs more than its rows."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a written table that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,6 +1,8 @@
 """Substring and near-duplicate removal against plain versions."""
 
+import glob
 import hashlib
+import importlib
 import itertools
 import random
 import re
@@ -8,8 +10,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from emberlog.llm import neardup, substrings
+from emberlog.llm import neardup, shared, substrings
 from emberlog.llm.components import components
 from emberlog.llm.filters import IdFilter, id_filter
 from emberlog.llm.fmindex import Bits, Index, Wavelet
@@ -90,6 +93,25 @@ def test_large_groups_in_rounds(spark, monkeypatch):
     assert 3 < sum(r[3] for r in got) < 50
 
 
+def test_rounds_write_few_files(spark, dealt_wide, monkeypatch):
+    """What a round writes of a large group's rows and trees is in few files, whatever the shuffles are dealt over."""
+    monkeypatch.setattr(neardup, "GROUP", 8)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(80)]
+    data = []
+    for _ in range(90):
+        own = list(base)
+        for _ in range(rng.randrange(9)):
+            own[rng.randrange(80)] = f"v{rng.randrange(10**6)}"
+        data.append((len(data), " ".join(own)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = Counter(tuple(r) for r in neardup.near_duplicates(df, n=2).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == groups(data, 2)
+    rounds = [n for columns, n in dealt_wide if "done" in columns]
+    assert len(rounds) > 2 and max(rounds) <= 8
+
+
 def test_no_documents(empty):
     assert neardup.near_duplicates(empty).count() == 0
     assert substrings.deduplicate(empty).count() == 0
@@ -133,6 +155,81 @@ def test_components_of_hubs(spark):
     assert got.pop(1) == got.pop(2) == 1 and set(got.values()) == {500} and len(got) == 60 + 51 + 1
 
 
+@pytest.fixture
+def dealt_wide(spark, monkeypatch):
+    """Shuffles of 64 tasks that are never put together; the part files of each table written meanwhile, by its columns."""
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in own}
+    files, write = [], shared.written
+
+    def written(df, keep=False):
+        table, path = write(df, keep)
+        files.append((tuple(df.columns), len(glob.glob(f"{path.removeprefix('file:')}/part-*"))))
+        return table, path
+
+    monkeypatch.setattr(shared, "written", written)
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield files
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def plain_components(edges):
+    least = {x: x for e in edges for x in e}
+    while True:
+        new = {x: min([least[x], *[least[b if a == x else a] for a, b in edges if x in (a, b)]]) for x in least}
+        if new == least:
+            return least
+        least = new
+
+
+def test_few_edges_are_one_task(spark, dealt_wide):
+    """A graph of some hundred edges takes fewer tasks than one shuffle has, and leaves few files."""
+    rng = random.Random(11)
+    edges = [(a, b) for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(300)) if a != b]
+    df, _ = shared.written(spark.createDataFrame(edges, "a long, b long").repartition(32))
+    del dealt_wide[:]
+    sc = spark.sparkContext
+    sc.setJobGroup("few edges", "")
+    try:
+        got = {r.id: r.component for r in components(df).collect()}
+        tracker = sc.statusTracker()
+        tasks = sum(tracker.getStageInfo(k).numCompletedTasks for j in tracker.getJobIdsForGroup("few edges") for k in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(k))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == plain_components(edges)
+    assert tasks < 64
+    assert dealt_wide and max(n for _, n in dealt_wide) <= 8
+
+
+def test_components_of_any_size(spark, monkeypatch):
+    """Beyond what one task takes the stars give the same, at every bound."""
+    module = importlib.import_module("emberlog.llm.components")
+    rng = random.Random(12)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 120)] + [(7, 7)]
+    want = plain_components([e for e in edges if e[0] != e[1]])
+    df = spark.createDataFrame(edges, "a long, b long")
+    for bound in (0, 30, 10**6):
+        monkeypatch.setattr(module, "WHOLE", bound)
+        assert {r.id: r.component for r in components(df).collect()} == want
+
+
+def test_edges_are_contracted(monkeypatch):
+    """What a task makes of its edges has the same components, whatever it holds at once; a hub of many repeated edges is one star."""
+    module = importlib.import_module("emberlog.llm.components")
+    rng = random.Random(13)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(200, 200 + k % 20) for k in range(1, 200) if k % 20]
+    edges = [(max(e), min(e)) for e in edges if e[0] != e[1]]
+    want = plain_components(edges)
+    for bound in (1, 10, 50, 10**6):
+        monkeypatch.setattr(module, "WHOLE", bound)
+        batches = [pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in edges[k : k + 16]]) for k in range(0, len(edges), 16)]
+        out = [(r["u"], r["v"]) for b in module.contracted(iter(batches)) for r in b.to_pylist()]
+        assert plain_components(out) == want
+    assert len(out) == len(want) - len(set(want.values()))
+
+
 def test_id_filter(spark):
     keep = id_filter(spark.range(0, 1000, 3))
     assert isinstance(keep, IdFilter) and keep(np.arange(0, 1000, 3)).all()

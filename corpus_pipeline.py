@@ -40,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat the id and text of one that stays are duplicates too: one of them stays.
     Only texts that may have to go or are repeated are shuffled; the others pass.
     """
-    judged, _ = shared.written(neardup.near_duplicates(docs, n=5).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("doc_id is not null and (not kept or rows > 1)"))
+    judged, _ = shared.written(shared.few(neardup.near_duplicates(docs, n=5).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("doc_id is not null and (not kept or rows > 1)")))
     doubtful = filters.id_filter(judged.select("doc_id"))
     some = filters.passing(docs, doubtful, "doc_id").join(judged.where(~F.col("kept")), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
     return filters.passing(docs, doubtful, "doc_id", inverse=True).unionByName(some).select(*COLUMNS)

@@ -1,6 +1,5 @@
 """Substring and near-duplicate removal against plain versions."""
 
-import glob
 import hashlib
 import importlib
 import itertools
@@ -10,7 +9,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from emberlog.llm import neardup, shared, substrings
 from emberlog.llm.components import components
@@ -155,26 +153,6 @@ def test_components_of_hubs(spark):
     assert got.pop(1) == got.pop(2) == 1 and set(got.values()) == {500} and len(got) == 60 + 51 + 1
 
 
-@pytest.fixture
-def dealt_wide(spark, monkeypatch):
-    """Shuffles of 64 tasks that are never put together; the part files of each table written meanwhile, by its columns."""
-    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    old = {k: spark.conf.get(k) for k in own}
-    files, write = [], shared.written
-
-    def written(df, keep=False):
-        table, path = write(df, keep)
-        files.append((tuple(df.columns), len(glob.glob(f"{path.removeprefix('file:')}/part-*"))))
-        return table, path
-
-    monkeypatch.setattr(shared, "written", written)
-    for k, v in own.items():
-        spark.conf.set(k, v)
-    yield files
-    for k, v in old.items():
-        spark.conf.set(k, v)
-
-
 def plain_components(edges):
     least = {x: x for e in edges for x in e}
     while True:

@@ -1,12 +1,13 @@
 """The pipeline's stages against plain versions of each, and its queries against SQL."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.llm import language, queries, toxicity
+from emberlog.llm import language, neardup, queries, toxicity
 from tests.llm.test_duplicates import groups, removed
 from tests.oracle import same
 
@@ -58,3 +59,22 @@ def test_stages_on_awkward_rows(spark, awkward, texts, tmp_path, data):
     for _, stage in pipeline.STAGES:
         assert stage(spark, nothing, data).count() == 0
     assert Counter(i for i, _ in texts)[7] == 2
+
+
+def test_near_duplicates_write_few_files(spark, dealt_wide, monkeypatch, data):
+    """With a group beyond one task the stage keeps the same rows, and its small tables are in few files, as executors spawn a process for each."""
+    monkeypatch.setattr(neardup, "GROUP", 8)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = []
+    for k in range(150):
+        own = list(base) if k % 3 else [f"x{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(rng.randrange(3)):
+            own[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    after = pipeline.drop_near_duplicates(spark, docs, data)
+    assert Counter(r.doc_id for r in after.collect()) == Counter(i for (i, _, _, kept) in groups([r[:2] for r in rows], 5) if kept)
+    small = [n for columns, n in dealt_wide if columns == ("u", "v") or "kept" in columns or "done" in columns]
+    assert len(small) > 4 and max(small) <= 8
